@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def first_words(text: Column, n: Column) -> Column:
     """The text's beginning up to its n-th word; n at least 1."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+")), F.lit(0))
+    return F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+")), F.lit(0))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, line_dedup, mixing, packing, pii, quality, simhash, topk
+from . import embedding_dedup, licenses, line_dedup, mixing, mixture_lm, packing, pii, quality, simhash, topk
 from .util import read
 
 
@@ -36,6 +36,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(read(spark, sf_dir, "embeddings"))
 
 
+def op6_mixture_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_lm.mixture_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_resampling, op3_line_dedup, op4_harmonic_packing, op5_embedding_dedup, op7_simhash, op8_topk, op9_license_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_resampling, op3_line_dedup, op4_harmonic_packing, op5_embedding_dedup, op6_mixture_lm, op7_simhash, op8_topk, op9_license_scan, op10_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
