@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import free_name
+from .util import free_name, materialize
 
 MIN_SITES = 8
 LG_K = 9
@@ -26,16 +26,21 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.translate(spaced, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def site_lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """(h1, h2, site): two hashes of each normalised line that is not blank."""
-    lines = docs.select(F.col(site_col).alias("site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
-    lines = lines.select("site", normal_line(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.coalesce(F.concat(F.lit("="), F.col("site").cast("string")), F.lit("null")).alias("site"))
+def hashed_lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
+    """(t1, t2, site, lines): two hashes of each text, and two of each of its normalised lines, null for a blank one.
+
+    Written once, so that the texts are split and normalised a single time for all that follows.
+    """
+    normal = F.transform(F.split(F.col(text_col), "\n", -1), normal_line)
+    lines = F.transform(normal, lambda n: F.when(n != "", F.struct(F.xxhash64(n).alias("h1"), F.hash(n).alias("h2"))))
+    site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("null"))
+    named = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("t1"), F.hash(text_col).alias("t2"), site.alias("site"), lines.alias("lines"))
+    return materialize(named)
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2) of the lines that stand on min_sites sites or more; a null site counts as a site."""
-    lines = site_lines(docs, text_col, site_col)
+    lines = hashed.select("site", F.explode("lines").alias("l")).where("l IS NOT NULL").select("l.h1", "l.h2", "site")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("about"))
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
@@ -46,14 +51,13 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def removed_positions(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """(text_hash, text_hash2, gone array<int>): for each distinct text, the places of its boilerplate lines, from 0.
+    """(t1, t2, gone array<int>): for each distinct text, the places of its boilerplate lines, from 0.
 
     What goes depends on a text only, so texts are named by two hashes of their own rather than by an id that may repeat.
     """
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("t1"), F.hash(text_col).alias("t2"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "line"))
-    lines = texts.select("t1", "t2", "at", normal_line(F.col("line")).alias("line")).where("line <> ''")
-    lines = lines.select("t1", "t2", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    gone = lines.join(boilerplate(docs, text_col, site_col, min_sites), ["h1", "h2"], "left_semi")
+    hashed = hashed_lines(docs, text_col, site_col)
+    lines = hashed.select("t1", "t2", F.posexplode("lines").alias("at", "l")).where("l IS NOT NULL").select("t1", "t2", "at", "l.h1", "l.h2")
+    gone = lines.join(boilerplate(hashed, min_sites), ["h1", "h2"], "left_semi")
     return gone.groupBy("t1", "t2").agg(F.collect_set("at").alias("gone"))
 
 
