@@ -124,11 +124,15 @@ def shape(c: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{Nd}}', '9'), '\\p{{L}}', 'X'), '\\s', ' ')"
 
 
+#: A word boundary in which only ASCII letters, digits and _ make words.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def mask(c: str) -> str:
     """E-mail addresses, US social security numbers and long numbers replaced by their kind."""
-    mail = rf"regexp_replace({c}, '[\\p{{L}}\\p{{N}}._%+-]+@[\\p{{L}}\\p{{N}}.-]+\\.\\p{{L}}{{2,}}', '[email]')"
-    ssn = rf"regexp_replace({mail}, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[national-id]')"
-    return rf"regexp_replace({ssn}, '\\b(?:\\d[ -]?){{12,}}\\d?\\b', '[long-number]')"
+    for pattern, name in ((r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", "[email]"), (EDGE + r"\d{3}-\d{2}-\d{4}" + EDGE, "[national-id]"), (EDGE + r"(?:\d[ -]?){12,}\d?" + EDGE, "[long-number]")):
+        c = f"regexp_replace({c}, {literal(pattern)}, '{name}')"
+    return c
 
 
 def redacted(c: str, show_values: bool = False, shape_cut: int = 60, value_cut: int = 120) -> str:

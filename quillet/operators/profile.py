@@ -19,6 +19,11 @@ EARLIEST = "1900-01-02"
 QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once. For frames with a row per column of the data set only: they pass through the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _sum(condition: str) -> Column:
     return F.sum(F.expr(f"CASE WHEN {condition} THEN n ELSE 0 END"))
 
@@ -112,7 +117,8 @@ def quantiles(x: DataFrame) -> DataFrame:
     and only those are ordered.
     """
     cuts = x.groupBy(*KEY).agg(F.percentile_approx("x", F.lit([i / 64 for i in range(1, 64)]), F.lit(2000)).alias("cuts"), F.sum("n").alias("whole"))
-    x = x.join(cuts, KEY).withColumn("cut", F.expr("size(filter(cuts, c -> c < x))"))
+    cuts = settled(cuts)  # approximate bounds may differ from one evaluation to the next
+    x = x.join(F.broadcast(cuts), KEY).withColumn("cut", F.expr("size(filter(cuts, c -> c < x))"))
     sums = x.groupBy(*KEY, "cut", "whole").agg(F.sum("n").alias("inside"))
     before = F.sum("inside").over(Window.partitionBy(*KEY).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))

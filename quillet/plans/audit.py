@@ -8,22 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import checks, findings, relate, rules
 from ..operators.histogram import histogram
-from ..operators.profile import profile
+from ..operators.profile import profile, settled
 from ..sources.delimited import read_folder
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df computed once. For frames with a row per column of the data set only: they pass through the driver."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def audit(spark: SparkSession, tables: dict[str, DataFrame], audit_time: datetime, rule_list: list[rules.Rule] = (), notes: DataFrame | None = None,
           rejects: DataFrame | None = None, strip_prefix: str | None = None, verify: bool = True) -> dict[str, DataFrame]:
     """profile and findings (verified, in order) of text tables that are registered as views of their names."""
     h = histogram(tables).persist()
-    profiled = _settled(profile(tables, audit_time, h))
+    profiled = settled(profile(tables, audit_time, h))
     keys = relate.candidate_keys(profiled, strip_prefix)
-    references = _settled(relate.propose_references(profiled, keys, strip_prefix))
+    references = settled(relate.propose_references(profiled, keys, strip_prefix))
     found = checks.column_checks(profiled, audit_time)
     for more in (checks.table_checks(spark, tables, profiled, notes, rejects), relate.duplicate_keys(keys), relate.orphan_findings(relate.orphans(h, references)), relate.shared_domains(h, profiled)):
         found = found.unionByName(more)

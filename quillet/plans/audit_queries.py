@@ -1,4 +1,381 @@
-"""Registered audit queries."""
+"""Registered audit queries, each over whole tables as text, with the SQL that gives the same rows in DuckDB.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The given tables are mostly clean, so some columns are spoiled by a fixed CASE on their key, the same in both.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..operators import adhoc, checks, findings, relate, rules
+from ..operators import profile as prof
+from ..operators.histogram import histogram
+from ..sources.tables import registered
+from .audit import audit
+
+AUDIT_TIME = datetime(2024, 1, 1)
+
+# ---- the inputs: table -> columns as SQL that both engines read alike -------------------------------------------
+STATUS = "CASE WHEN {k} % 17 = 0 THEN lower({c}) WHEN {k} % 23 = 0 THEN ' ' || {c} WHEN {k} % 29 = 0 THEN 'N/A' WHEN {k} % 31 = 0 THEN NULL WHEN {k} % 37 = 0 THEN '' ELSE {c} END"
+INPUTS = {
+    "customer": {"c_custkey": "CAST(c_custkey AS STRING)", "c_name": "c_name", "c_nationkey": "CAST(c_nationkey AS STRING)", "c_mktsegment": STATUS.format(k="c_custkey", c="c_mktsegment")},
+    "orders": {"o_orderkey": "CAST(CASE WHEN o_orderkey % 400 = 7 THEN o_orderkey - 1 ELSE o_orderkey END AS STRING)",
+               "o_custkey": "CASE WHEN o_orderkey % 41 = 0 THEN 'x' || CAST(o_custkey AS STRING) ELSE CAST(o_custkey AS STRING) END",
+               "o_orderstatus": "o_orderstatus", "o_orderpriority": STATUS.format(k="o_orderkey", c="o_orderpriority"),
+               "o_cents": "CASE WHEN o_orderkey % 97 = 0 THEN 'pending' WHEN o_orderkey % 101 = 0 THEN '-' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) END"},
+    "part": {"p_partkey": "CAST(p_partkey AS STRING)", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS STRING)"},
+    "nation": {"n_nationkey": "CAST(n_nationkey AS STRING)", "name": "n_name"},
+    "region": {"r_regionkey": "CAST(r_regionkey AS STRING)", "name": "r_name"},
+    "lineitem": {"l_orderkey": "CAST(l_orderkey AS STRING)", "l_partkey": "CAST(l_partkey AS STRING)", "l_suppkey": "CAST(l_suppkey AS STRING)", "l_linenumber": "CAST(l_linenumber AS STRING)",
+                 "l_cents": "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)", "l_units": "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"},
+    "supplier": {"s_suppkey": "CAST(s_suppkey AS STRING)", "s_name": "s_name"},
+    "events": {"event_id": "CAST(event_id AS STRING)", "user_id": "CAST(user_id AS STRING)", "event_type": "event_type", "milli": "CAST(CAST(round(value * 1000) AS BIGINT) AS STRING)"},
+    "documents": {"doc_id": "CAST(doc_id AS STRING)", "text": "text", "lang": "lang", "source": "source"},
+    "labels": {"doc_id": "CAST(doc_id AS STRING)", "quality": "CAST(quality AS STRING)", "toxic": "CAST(toxic AS STRING)"},
+    "conversations": {"conv_id": "CAST(conv_id AS STRING)", "turn": "CAST(turn AS STRING)", "role": STATUS.format(k="conv_id", c="role"), "text": "text"},
+}
+
+
+def texts(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Input tables, registered as views of their names, which evidence queries read."""
+    return registered({n: spark.read.parquet(f"{sf_dir}/{n}.parquet").selectExpr(*[f"{e} AS {c}" for c, e in INPUTS[n].items()]) for n in names})
+
+
+def source_sql(name: str) -> str:
+    return "(SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {c}" for c, e in INPUTS[name].items()) + f" FROM {name})"
+
+
+# ---- the predicates, in DuckDB's dialect --------------------------------------------------------------------------
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def d_list(values) -> str:
+    return "(" + ", ".join(map(q, values)) + ")"
+
+
+def d_blank(c: str) -> str:
+    return f"({c} IS NOT NULL AND trim({c}) <> '')"
+
+
+def d_number(c: str) -> str:
+    return rf"CASE WHEN regexp_full_match(trim({c}), '{P.NUMBER}') THEN TRY_CAST(trim({c}) AS DOUBLE) END"
+
+
+def d_format(c: str, i: int) -> str:
+    strp = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%b %d, %Y", "%d/%m/%y", "%m/%d/%y")[i]
+    return f"CASE WHEN regexp_full_match(trim({c}), '{P.DATE_FORMATS[i][2]}') THEN try_strptime(trim({c}), '{strp}') END"
+
+
+def d_kind(c: str, kind: str) -> str:
+    if kind == "integer":
+        return f"regexp_full_match(trim({c}), '[+-]?[0-9]{{1,18}}')"
+    if kind == "decimal":
+        return f"({d_number(c)}) IS NOT NULL"
+    if kind == "boolean":
+        return f"TRY_CAST(trim({c}) AS BOOLEAN) IS NOT NULL"
+    if kind == "date":
+        return "(" + " OR ".join(f"({d_format(c, i)}) IS NOT NULL" for i in (0, *P.INFERENCE_FORMATS)) + ")"
+    return rf"(CASE WHEN regexp_full_match(trim({c}), '{P.TIMESTAMP}') THEN TRY_CAST(trim({c}) AS TIMESTAMP) END) IS NOT NULL"
+
+
+def d_shape(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\p{{Nd}}', '9', 'g'), '\p{{L}}', 'X', 'g'), '\s', ' ', 'g')"
+
+
+def d_count(condition: str) -> str:
+    return f"CAST(coalesce(sum(CASE WHEN {condition} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+
+
+def union(parts) -> str:
+    return " UNION ALL ".join(parts)
+
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+    return keep
+
+
+# ---- column profile -------------------------------------------------------------------------------------------------
+COUNTS = ("total", "nulls", "blanks", "non_blank", "distinct", "distinct_normalized", "min_length", "max_length", "leading_space", "trailing_space", "padded", "min_value", "max_value", "sentinel_hits", "numeric_sentinel_hits")
+
+
+def counts_sql(name: str) -> str:
+    def one(c: str) -> str:
+        nb = d_blank(c)
+        kinds = ", ".join(f"{d_count(f'{nb} AND {d_kind(c, k)}')} AS as_{k}" for k in P.KINDS)
+        return (f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", count(*) AS total, {d_count(f'{c} IS NULL')} AS nulls, {d_count(f'''trim({c}) = '' ''')} AS blanks, {d_count(nb)} AS non_blank, "
+                f"count(DISTINCT {c}) AS \"distinct\", count(DISTINCT lower(trim({c}))) AS distinct_normalized, coalesce(min(length({c})), 0) AS min_length, coalesce(max(length({c})), 0) AS max_length, "
+                f"round(coalesce(avg(length({c})), 0), 6) AS avg_length, {d_count(f'{c} <> ltrim({c})')} AS leading_space, {d_count(f'{c} <> rtrim({c})')} AS trailing_space, {d_count(f'{c} <> trim({c})')} AS padded, "
+                f"min({c}) AS min_value, max({c}) AS max_value, {d_count(f'{nb} AND lower(trim({c})) IN {d_list(P.TEXT_SENTINELS)}')} AS sentinel_hits, "
+                f"{d_count(f'{nb} AND lower(trim({c})) IN {d_list(P.NUMERIC_SENTINELS)}')} AS numeric_sentinel_hits, {kinds} FROM {source_sql(name)}")
+    return union(one(c) for c in INPUTS[name])
+
+
+def profile_counts(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = prof.counts(histogram(texts(spark, sf_dir, name)))
+        return got.select("table", "column", *COUNTS, F.round("avg_length", 6).alias("avg_length"), *[f"as_{k}" for k in P.KINDS])
+
+    run.__name__ = f"profile_{name}"
+    return query(counts_sql(name))(run)
+
+
+for _name in ("customer", "orders", "part", "events", "documents", "conversations"):
+    profile_counts(_name)
+
+
+def kinds_sql(*names: str) -> str:
+    data = "non_blank - sentinel_hits"
+    first = " ".join(f"WHEN {data} - as_{k} <= greatest(floor(({data}) * 0.050000000000000044), 1) THEN '{k}'" for k in P.KINDS)
+    return (f'SELECT "table", "column", CASE WHEN {data} = 0 THEN \'empty\' {first} ELSE \'text\' END AS kind, '
+            f"round(CASE WHEN {data} = 0 THEN 0 ELSE greatest({', '.join(f'as_{k}' for k in P.KINDS)})::DOUBLE / ({data}) END, 6) AS best_conformance FROM ({union(counts_sql(n) for n in names)})")
+
+
+@query(kinds_sql("orders", "labels", "nation"))
+def infer_kind(spark, sf_dir):
+    got = prof.inferred(prof.counts(histogram(texts(spark, sf_dir, "orders", "labels", "nation"))))
+    return got.select("table", "column", "kind", F.round("best_conformance", 6).alias("best_conformance"))
+
+
+def top_sql(name: str, columns, value, k: int) -> str:
+    def one(c: str) -> str:
+        return (f"SELECT '{c}' AS \"column\", rank, value, n, round(n::DOUBLE / (SELECT count({c}) FROM {source_sql(name)}), 6) AS share FROM (SELECT {value(c)} AS value, count(*) AS n, "
+                f"row_number() OVER (ORDER BY count(*) DESC, {value(c)}) AS rank FROM {source_sql(name)} WHERE {d_blank(c)} GROUP BY {value(c)}) WHERE rank <= {k}")
+    return union(one(c) for c in columns)
+
+
+@query(top_sql("part", INPUTS["part"], lambda c: c, prof.TOP_VALUES))
+def top_values(spark, sf_dir):
+    return prof.top_values(histogram(texts(spark, sf_dir, "part"))).select("column", "rank", "value", "n", F.round("share", 6).alias("share"))
+
+
+@query(top_sql("customer", INPUTS["customer"], d_shape, prof.SHAPES))
+def shapes_top8(spark, sf_dir):
+    return prof.shapes(histogram(texts(spark, sf_dir, "customer"))).select("column", "rank", "value", "n", F.round("share", 6).alias("share"))
+
+
+@query(union(f"SELECT '{c}' AS \"column\", lower(trim({c})) AS value, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 6) AS share FROM {source_sql('orders')} "
+             f"WHERE lower(trim({c})) IN {d_list(P.TEXT_SENTINELS + P.NUMERIC_SENTINELS)} GROUP BY lower(trim({c}))" for c in INPUTS["orders"]))
+def sentinel_values(spark, sf_dir):
+    return prof.sentinels(histogram(texts(spark, sf_dir, "orders"))).select("column", "value", "n", F.round("share", 6).alias("share"))
+
+
+def numbers_sql(name: str, columns) -> str:
+    def one(c: str) -> str:
+        return (f"SELECT '{c}' AS \"column\", count(x) AS count, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(coalesce(stddev_samp(x), 0), 4) AS stddev, round(quantile_cont(x, 0.25), 4) AS p25, "
+                f"round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.75), 4) AS p75, {d_count('x < 0')} AS negative, {d_count('x = 0')} AS zero, "
+                f"{d_count('abs(x - m) > 6 * s')} AS outliers FROM (SELECT x, avg(x) OVER () AS m, stddev_samp(x) OVER () AS s FROM (SELECT {d_number(c)} AS x FROM {source_sql(name)} WHERE {d_blank(c)}) WHERE x IS NOT NULL)")
+    return union(one(c) for c in columns)
+
+
+@query(numbers_sql("lineitem", ("l_cents", "l_units", "l_linenumber")) + " UNION ALL " + numbers_sql("events", ("milli",)) + " UNION ALL " + numbers_sql("orders", ("o_cents",)))
+def numeric_detail(spark, sf_dir):
+    t = texts(spark, sf_dir, "lineitem", "events", "orders")
+    some = {"lineitem": t["lineitem"].select("l_cents", "l_units", "l_linenumber"), "events": t["events"].select("milli"), "orders": t["orders"].select("o_cents")}
+    got = prof.numeric_detail(histogram(some))
+    return got.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p25", "median", "p75")], "negative", "zero", "outliers")
+
+
+# ---- dates: rendered in several formats by the key --------------------------------------------------------------
+S_DATES = ("CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
+           "WHEN 3 THEN date_format(o_orderdate, 'dd.MM.yyyy') ELSE CASE WHEN o_orderkey % 100 = 99 THEN 'soon' ELSE date_format(o_orderdate, 'yyyyMMdd') END END")
+D_DATES = ("CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') "
+           "WHEN 3 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE CASE WHEN o_orderkey % 100 = 99 THEN 'soon' ELSE strftime(o_orderdate, '%Y%m%d') END END")
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{S_DATES} AS o_date")
+
+
+@query(union(f"SELECT {q(P.DATE_FORMATS[i][0])} AS format, n FROM (SELECT {d_count(f'({d_format(chr(111) + chr(95) + chr(100), i)}) IS NOT NULL')} AS n FROM (SELECT {D_DATES} AS o_d FROM orders)) WHERE n > 0" for i in range(12)))
+def date_formats(spark, sf_dir):
+    got = prof.temporal_detail(histogram({"orders": dated(spark, sf_dir)}), AUDIT_TIME)
+    return got.select(F.explode("formats").alias("f")).select(F.col("f.format").alias("format"), F.col("f.count").alias("n"))
+
+
+@query(f"SELECT count(*) FILTER ({d_kind('o_d', 'date')}) AS count, count(*) FILTER (({d_format('o_d', 1)}) <> ({d_format('o_d', 2)})) AS ambiguous, strftime(min({d_format('o_d', 0)}), '%Y-%m-%d %H:%M:%S') AS min, "
+       f"strftime(max({d_format('o_d', 0)}), '%Y-%m-%d %H:%M:%S') AS max, count(*) FILTER (({d_format('o_d', 0)}) > TIMESTAMP '2000-01-01') AS future FROM (SELECT {D_DATES} AS o_d FROM orders)")
+def date_range(spark, sf_dir):
+    got = prof.temporal_detail(histogram({"orders": dated(spark, sf_dir)}), datetime(2000, 1, 1))
+    return got.select("count", "ambiguous", "min", "max", "future")
+
+
+# ---- tables, keys and references ----------------------------------------------------------------------------------
+@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM " + source_sql("lineitem") + " GROUP BY l_returnflag, l_linestatus, l_units HAVING count(*) > 1)")
+def duplicate_rows(spark, sf_dir):
+    return checks.duplicate_rows(texts(spark, sf_dir, "lineitem")["lineitem"].select("l_returnflag", "l_linestatus", "l_units"))
+
+
+@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang HAVING count(*) > 1)")
+def duplicate_documents(spark, sf_dir):
+    return checks.duplicate_rows(texts(spark, sf_dir, "documents")["documents"].select("text", "lang"))
+
+
+@query('SELECT sum(n)::BIGINT AS "rows", count(*) AS distinct_keys, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS rows_in_duplicates, 0::BIGINT AS rows_missing_part, coalesce(sum(n) FILTER (n > 1), 0) = 0 AS is_key '
+       "FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+def candidate_key(spark, sf_dir):
+    return adhoc.candidate_key(texts(spark, sf_dir, "lineitem")["lineitem"], ["l_orderkey", "l_linenumber"])
+
+
+REFERENCES = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+              ("events", "user_id", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"), ("customer", "c_nationkey", "nation", "n_nationkey"))
+
+
+def orphan_sql(t: str, c: str, pt: str, p: str) -> str:
+    return (f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {d_count(f'lower(trim({c})) NOT IN (SELECT lower(trim({p})) FROM {source_sql(pt)} WHERE {d_blank(p)})')} AS orphans FROM {source_sql(t)} WHERE {d_blank(c)}")
+
+
+@query(union(orphan_sql(*r) for r in REFERENCES))
+def reference_orphans(spark, sf_dir):
+    t = texts(spark, sf_dir, *sorted({n for a, _, b, _ in REFERENCES for n in (a, b)}))
+    used = {n: df.select(*sorted({c for a, x, b, y in REFERENCES for m, c in ((a, x), (b, y)) if m == n})) for n, df in t.items()}
+    pairs = spark.createDataFrame(REFERENCES, '`table` string, `column` string, parent_table string, parent_column string')
+    return relate.orphans(histogram(used), pairs).select("table", "column", "orphans")
+
+
+@query(f"SELECT count(*) AS referencing_rows, {d_count('v NOT IN (SELECT trim(c_custkey) FROM ' + source_sql('customer') + ')')} AS orphans, "
+       f"round({d_count('v NOT IN (SELECT trim(c_custkey) FROM ' + source_sql('customer') + ')')}::DOUBLE / count(*), 6) AS orphan_share FROM (SELECT trim(o_custkey) AS v FROM {source_sql('orders')} WHERE {d_blank('o_custkey')})")
+def referential_integrity(spark, sf_dir):
+    t = texts(spark, sf_dir, "orders", "customer")
+    return adhoc.referential_integrity(t["orders"], "o_custkey", t["customer"], "c_custkey")
+
+
+@query(f"SELECT count(*) AS value_count FROM (SELECT DISTINCT lower(trim(role)) FROM {source_sql('conversations')} WHERE {d_blank('role')} EXCEPT SELECT DISTINCT lower(trim(role)) FROM (SELECT 'user' AS role UNION ALL SELECT 'N/A'))")
+def shared_domain(spark, sf_dir):
+    t = texts(spark, sf_dir, "conversations")
+    two = {"conversations": t["conversations"].select("role"), "a_roles": spark.createDataFrame([("user",)] * 30 + [("N/A",)] * 2, "role string")}
+    h = histogram(two)
+    got = relate.shared_domains(h, prof.inferred(prof.counts(h)).withColumn("populated", F.col("non_blank") - F.col("sentinel_hits")))
+    return got.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("value_count"))
+
+
+@query(f"SELECT count(*) AS spellings FROM (SELECT 1 FROM {source_sql('customer')} WHERE {d_blank('c_mktsegment')} GROUP BY lower(trim(c_mktsegment)) HAVING count(DISTINCT c_mktsegment) > 1)")
+def case_variants(spark, sf_dir):
+    t = texts(spark, sf_dir, "customer")["customer"]
+    return t.where(P.non_blank("c_mktsegment")).groupBy(F.expr(P.normalized("c_mktsegment"))).agg(F.countDistinct("c_mktsegment").alias("n")).where("n > 1").agg(F.count("*").alias("spellings"))
+
+
+# ---- rules ----------------------------------------------------------------------------------------------------------
+RULES = rules.parse([
+    {"id": "priority_given", "table": "orders", "column": "o_orderpriority", "expect": "not_null"},
+    {"id": "order_once", "table": "orders", "column": "o_orderkey", "expect": "unique"},
+    {"id": "cents_positive", "table": "orders", "column": "o_cents", "expect": "positive", "severity": "warning"},
+    {"id": "cents_not_negative", "table": "orders", "column": "o_cents", "expect": "non_negative"},
+    {"id": "status_known", "table": "orders", "column": "o_orderstatus", "expect": "one_of", "values": ["F", "O"]},
+    {"id": "segment_known", "table": "cust*", "column": "c_mktsegment", "expect": "one_of", "values": ["automobile", "building", "furniture"], "ignore_case": True, "allow_missing": True},
+    {"id": "custkey_digits", "table": "*", "column": "*_custkey", "expect": "matches", "pattern": "[0-9]+"},
+    {"id": "cents_range", "table": "orders", "column": "o_cents", "expect": "range", "min": 1000000, "max": 30000000},
+    {"id": "customer_exists", "table": "orders", "column": "o_custkey", "expect": "references", "references": "customer.c_custkey"},
+    {"id": "urgent_open", "table": "orders", "expect": "sql", "where": "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"},
+])
+SENTINEL = f"lower(trim(c_mktsegment)) IN {d_list(P.TEXT_SENTINELS)}"
+BROKEN = {
+    ("priority_given", "orders", "o_orderpriority"): f"NOT {d_blank('o_orderpriority')}",
+    ("order_once", "orders", "o_orderkey"): f"o_orderkey IN (SELECT o_orderkey FROM {source_sql('orders')} GROUP BY 1 HAVING count(*) > 1)",
+    ("cents_positive", "orders", "o_cents"): f"{d_blank('o_cents')} AND coalesce({d_number('o_cents')}, 0) <= 0",
+    ("cents_not_negative", "orders", "o_cents"): f"{d_blank('o_cents')} AND coalesce({d_number('o_cents')}, 0) < 0",
+    ("status_known", "orders", "o_orderstatus"): "o_orderstatus NOT IN ('F', 'O')",
+    ("segment_known", "customer", "c_mktsegment"): f"{d_blank('c_mktsegment')} AND lower(trim(c_mktsegment)) NOT IN ('automobile', 'building', 'furniture') AND NOT {SENTINEL}",
+    ("custkey_digits", "orders", "o_custkey"): "NOT regexp_full_match(trim(o_custkey), '[0-9]+')",
+    ("custkey_digits", "customer", "c_custkey"): "NOT regexp_full_match(trim(c_custkey), '[0-9]+')",
+    ("cents_range", "orders", "o_cents"): f"({d_number('o_cents')}) < 1000000 OR ({d_number('o_cents')}) > 30000000",
+    ("customer_exists", "orders", "o_custkey"): f"o_custkey NOT IN (SELECT c_custkey FROM {source_sql('customer')} WHERE c_custkey IS NOT NULL)",
+    ("urgent_open", "orders", None): "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'",
+}
+
+
+@query("SELECT * FROM (" + union(f"SELECT '{r}' AS rule, '{t}' AS \"table\", {q(c) if c else 'CAST(NULL AS VARCHAR)'} AS \"column\", {d_count(w)} AS count, count(*) AS total FROM {source_sql(t)}" for (r, t, c), w in BROKEN.items()) + ") WHERE count > 0")
+def rule_violations(spark, sf_dir):
+    return rules.evaluate(spark, texts(spark, sf_dir, "orders", "customer"), RULES, AUDIT_TIME).select("rule", "table", "column", "count", "total")
+
+
+@query(f"SELECT min(o_orderpriority) AS value FROM {source_sql('orders')} WHERE {d_blank('o_orderpriority')} GROUP BY lower(trim(o_orderpriority))")
+def vocabulary(spark, sf_dir):
+    rule = rules.Rule("v", "orders", "one_of", "o_orderpriority", values_from="current", ignore_case=True)
+    return rules.vocabulary(rule, texts(spark, sf_dir, "orders"))
+
+
+# ---- redaction --------------------------------------------------------------------------------------------------------
+def d_mask(c: str) -> str:
+    return (rf"regexp_replace(regexp_replace(regexp_replace({c}, '[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}.-]+\.\p{{L}}{{2,}}', '[email]', 'g'), "
+            rf"'\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[national-id]', 'g'), '\b(?:\d[ -]?){{12,}}\d?\b', '[long-number]', 'g')")
+
+
+@query(f"SELECT doc_id, sha256({d_mask('text')}) AS masked_sha256, {d_mask('text')} <> text AS changed FROM documents")
+def mask_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.expr(P.mask("text")).alias("m"), "text").select("doc_id", F.sha2("m", 256).alias("masked_sha256"), (F.col("m") != F.col("text")).alias("changed"))
+
+
+@query(f"SELECT '⟨' || CASE WHEN length(s) > 60 THEN left(s, 60) || '…' ELSE s END || '⟩' AS shown, count(*) AS n FROM (SELECT {d_shape('text')} AS s FROM conversations) GROUP BY 1")
+def redacted_conversations(spark, sf_dir):
+    t = texts(spark, sf_dir, "conversations")["conversations"]
+    return t.groupBy(F.expr(P.redacted("text")).alias("shown")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT '⟨' || {d_shape('v')} || '⟩' AS value, n AS count, round(n::DOUBLE / (SELECT count(o_orderpriority) FROM {source_sql('orders')}), 6) AS share FROM (SELECT o_orderpriority AS v, count(*) AS n FROM {source_sql('orders')} "
+       f"WHERE {d_blank('o_orderpriority')} GROUP BY 1 ORDER BY n DESC, v LIMIT 20)")
+def sample_values(spark, sf_dir):
+    return adhoc.sample_values(texts(spark, sf_dir, "orders")["orders"], "o_orderpriority").select("value", "count", F.round("share", 6).alias("share"))
+
+
+@query(f"SELECT o_orderstatus, n FROM (SELECT {d_shape('o_orderstatus')} AS k, '⟨' || {d_shape('o_orderstatus')} || '⟩' AS o_orderstatus, count(*) AS n FROM {source_sql('orders')} GROUP BY orders_status, 1, 2)".replace("GROUP BY orders_status, 1, 2", "GROUP BY o_orderstatus"))
+def run_sql(spark, sf_dir):
+    texts(spark, sf_dir, "orders")
+    return adhoc.run_sql(spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", statistics=("n",))[0]
+
+
+# ---- findings ---------------------------------------------------------------------------------------------------------
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = texts(spark, sf_dir, "orders", "customer")
+    return audit(spark, t, AUDIT_TIME, RULES, strip_prefix="^[a-z]_")["findings"]
+
+
+_BAD_CENTS = f"{d_blank('o_cents')} AND ({d_number('o_cents')}) IS NULL"
+
+
+@query()
+def audit_findings(spark, sf_dir):
+    """All findings of two tables, verified: which there are depends on every check, so tests compare parts with SQL."""
+    return findings.export(audited(spark, sf_dir)).drop("count_query", "row_query")
+
+
+@query(union([
+    f"SELECT 'column.whitespace_padding' AS rule, 'customer' AS \"table\", 'c_mktsegment' AS \"column\", {d_count('c_mktsegment <> trim(c_mktsegment)')} AS count FROM {source_sql('customer')}",
+    f"SELECT 'column.whitespace_padding', 'orders', 'o_orderpriority', {d_count('o_orderpriority <> trim(o_orderpriority)')} FROM {source_sql('orders')}",
+    f"SELECT 'column.case_variants', 'customer', 'c_mktsegment', count(*) FROM (SELECT 1 FROM {source_sql('customer')} WHERE {d_blank('c_mktsegment')} GROUP BY lower(trim(c_mktsegment)) HAVING count(DISTINCT c_mktsegment) > 1)",
+    f"SELECT 'column.case_variants', 'orders', 'o_orderpriority', count(*) FROM (SELECT 1 FROM {source_sql('orders')} WHERE {d_blank('o_orderpriority')} GROUP BY lower(trim(o_orderpriority)) HAVING count(DISTINCT o_orderpriority) > 1)",
+    f"SELECT 'column.type_violation', 'orders', 'o_cents', {d_count(_BAD_CENTS)} FROM {source_sql('orders')}",
+]))
+def check_findings(spark, sf_dir):
+    t = texts(spark, sf_dir, "orders", "customer")
+    some = {"orders": t["orders"].select("o_orderpriority", "o_cents"), "customer": t["customer"].select("c_mktsegment")}
+    found = findings.verified(checks.column_checks(prof.settled(prof.profile(some, AUDIT_TIME)), AUDIT_TIME))
+    return found.where(F.col("rule").isin("column.whitespace_padding", "column.case_variants", "column.type_violation")).select("rule", "table", "column", "count")
+
+
+@query("SELECT CASE WHEN rule = 'cents_positive' THEN 1 ELSE 2 END AS severity, count(*) AS findings, sum(count)::BIGINT AS \"rows\" FROM (" + ORACLE_SQL["rule_violations"] + ") GROUP BY 1")
+def severity_counts(spark, sf_dir):
+    found = rules.evaluate(spark, texts(spark, sf_dir, "orders", "customer"), RULES, AUDIT_TIME)
+    return findings.severity_counts(findings.deduplicated(found.unionByName(found)))
+
+
+@query(f"SELECT 'claim.pending_orders' AS rule, (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending') AS measured, false AS accepted UNION ALL SELECT 'claim.none', 0, false UNION ALL SELECT 'claim.broken', NULL, false")
+def claims(spark, sf_dir):
+    texts(spark, sf_dir, "orders")
+    said = [("Pending orders!", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", -1), ("none", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'nothing'", 0),
+            ("broken", "orders", "o_cents", "SELECT count(*) FROM orders WHERE no_such_column = 1", 3)]
+    return adhoc.verify_claims(spark.createDataFrame(said, "claim string, `table` string, `column` string, count_query string, claimed long")).select("rule", "measured", "accepted")

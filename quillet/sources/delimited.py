@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,10 @@ BAD = "_bad_row"
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
     """(path, rel, kind, size, skip_reason) of the files below path that hold tables, or look as if they should."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = listed.select("path", F.col("length").alias("size"))
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in listed.inputFiles()], "path string")
+    found = names.join(found, "path", "left").withColumn("size", F.coalesce("size", F.lit(0)))  # the scan leaves out empty files
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     root = re.sub(r"^file:/+", "/", path.rstrip("/"))
@@ -176,10 +180,14 @@ def load(spark: SparkSession, path: str, dialect) -> tuple[DataFrame, DataFrame]
     named = column_names(list(dialect["names"]))
     schema = T.StructType([*(T.StructField(n, T.StringType(), True, {"original": o} if dialect["header"] else {}) for n, o in named), T.StructField(BAD, T.StringType())])
     reader = spark.read.schema(schema).option("sep", dialect["delimiter"]).option("encoding", dialect["encoding"]).option("header", str(dialect["header"]).lower())
-    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("quote", '"').option("escape", '"').option("enforceSchema", "true").csv(path)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("quote", '"').option("escape", '"').option("enforceSchema", "true").option("columnPruning", "false").csv(path)
     quoted = '"(?:[^"]|"")*"'
     fields = F.size(F.split(F.regexp_replace(F.col(BAD), quoted, "q"), re.escape(dialect["delimiter"])))
-    rejects = rows.where(F.col(BAD).isNotNull()).select(F.when(fields < len(named), "MISSING COLUMNS").otherwise("TOO MANY COLUMNS").alias("error_type"), F.col(BAD).alias("raw"))
+    # the reader refuses queries on its column of bad rows alone, so another one is named with it
+    other = F.coalesce(F.length(P.ident(named[0][0])) >= 0, F.lit(True)) if named else F.lit(True)
+    raw = F.when(other, F.col(BAD))
+    rows = rows.where(other)
+    rejects = rows.where(F.col(BAD).isNotNull()).select(F.when(fields < len(named), "MISSING COLUMNS").otherwise("TOO MANY COLUMNS").alias("error_type"), raw.alias("raw"))
     table = rows.where(F.col(BAD).isNull()).select(*[F.col(P.ident(n)).alias(n, metadata={"original": o} if dialect["header"] else {}) for n, o in named])
     return table, rejects
 
