@@ -49,12 +49,12 @@ Permission is granted to anyone to use this software for any purpose, including
     "All rights reserved": "All rights reserved.",
 }
 
-# Spellings that count as one, after normalisation to single-spaced lower-case words.
-SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
-    ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("organisation", "organization"),
-    ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("whilst", "while"), ("favour", "favor"),
-)
+# Words that count as others, after normalisation to single-spaced lower-case words.
+SPELLINGS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "authorisation": "authorization",
+    "organisation": "organization", "merchantibility": "merchantability", "whilst": "while", "favour": "favor",
+}
+SPLIT_WORD = ("non infringement", "noninfringement")
 #: Titles that may head a text without changing which licence it is.
 TITLES = "(the )?(mit|isc|zlib|bsd zero clause) license"
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,8 +69,15 @@ def canonical(text: Column) -> Column:
     low = F.translate(text, *_LETTERS)
     low = F.regexp_replace(low, r"(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©)[^\n]*", "\n")
     words = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    for one, other in SPELLINGS:
-        words = F.regexp_replace(words, rf"\b{one}\b", other)
+    words = F.replace(words, F.lit(SPLIT_WORD[0]), F.lit(SPLIT_WORD[1]))
+
+    def spelled(w: Column) -> Column:
+        out = F.when(w == "", w)
+        for one, other in SPELLINGS.items():
+            out = out.when(w == one, other)
+        return out.otherwise(w)
+
+    words = F.array_join(F.transform(F.split(words, " "), spelled), " ")
     return F.regexp_replace(words, rf"^{TITLES} (permission|this software)", r"$3")
 
 

@@ -59,4 +59,39 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_resampling, op3_line_dedup, op4_harmonic_packing, op5_embedding_dedup, op6_mixture_lm, op7_simhash, op8_topk, op9_license_scan, op10_source_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LINE = rf"trim(translate(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), {LETTERS}), ' ')"
+OP3_SQL = f"""
+WITH lines AS (SELECT r, doc_id, source, line, pos, {_LINE} AS norm FROM (
+       SELECT r, doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS l FROM documents))),
+     spread AS (SELECT norm, count(DISTINCT coalesce('=' || source, 'null')) AS sites FROM lines WHERE norm <> '' GROUP BY norm),
+     kept AS (SELECT r, doc_id, count(*) FILTER (coalesce(sites, 0) >= {line_dedup.MIN_SITES}) AS gone, string_agg(line, chr(10) ORDER BY pos) FILTER (coalesce(sites, 0) < {line_dedup.MIN_SITES}) AS text
+              FROM lines LEFT JOIN spread USING (norm) GROUP BY r, doc_id)
+SELECT doc_id, CAST(gone AS INTEGER) AS n_removed, CAST(length(coalesce(text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256 FROM kept
+UNION ALL SELECT doc_id, 0, NULL, NULL FROM documents WHERE text IS NULL"""
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def _canonical_sql(text: str) -> str:
+    low = rf"regexp_replace(translate({text}, {LETTERS}), '(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
+    words = rf"replace(trim(regexp_replace({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), '{licenses.SPLIT_WORD[0]}', '{licenses.SPLIT_WORD[1]}')"
+    case = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.SPELLINGS.items())
+    return rf"regexp_replace(array_to_string(list_transform(string_split({words}, ' '), lambda w: CASE w {case} ELSE w END), ' '), '^{licenses.TITLES} (permission|this software)', '\3')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP9_SQL = f"""
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.LICENSES.items())}) t(license, body)) GROUP BY digest),
+     own AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license FROM own LEFT JOIN known USING (digest)"""
+
+#: The other operators hash with XXH64, draw noise from it, train models or tokenise: tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_topk": OP8_SQL, "op9_license_scan": OP9_SQL}
