@@ -68,11 +68,11 @@ def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     if there, follows. n_removed: name for a further column with the number of lines removed (int). Repeated rows
     are cleaned alike. No rows give no rows.
     """
-    t1, t2, gone = (free_name(docs.columns, c) for c in ("line_t1", "line_t2", "line_gone"))
+    t1, t2, own1, own2, gone = (free_name(docs.columns, c) for c in ("line_t1", "line_t2", "own_t1", "own_t2", "line_gone"))
     found = removed_positions(docs, text_col, site_col, min_sites).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("gone").alias(gone))
     text = F.col(text_col)
-    keyed = docs.withColumns({f"{t1}_own": F.xxhash64(text), f"{t2}_own": F.hash(text)})
-    met = keyed.join(found, (F.col(f"{t1}_own") == F.col(t1)) & (F.col(f"{t2}_own") == F.col(t2)), "left")
+    keyed = docs.withColumns({own1: F.xxhash64(text), own2: F.hash(text)})
+    met = keyed.join(found, (F.col(own1) == F.col(t1)) & (F.col(own2) == F.col(t2)), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
     out = met.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept))

@@ -135,18 +135,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     cut by the end of its source's share keeps its first words.
     """
     size = word_count(F.col("text"))
-    key = free_name(docs.columns, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in docs.columns if c in ("doc_id", "text", "source")]))
+    key, of_id, of_key, words, taken, n = (free_name(docs.columns, c) for c in ("row_key", "mix_id", "mix_key", "mix_size", "mix_taken", "mix_words"))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ("doc_id", "text", "source")]))
     told = mix(keyed, extra=[key])
-    # equal rows share a key: their words taken are pooled and dealt out again one row after the other
-    pool = told.where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col(key).alias("mix_key"), F.col("size").alias("mix_size")).agg(
-        F.count("*").alias("mix_rows"), F.sum("taken").alias("mix_taken"))
+    # equal rows share a key: their words taken are pooled and dealt out again, one row after the other
+    pool = told.where("taken > 0").groupBy(F.col("doc_id").alias(of_id), F.col(key).alias(of_key), F.col("size").alias(words)).agg(F.sum("taken").alias(taken))
     rows = keyed.dropDuplicates(["doc_id", key]) if _repeats(told, key) else keyed
-    met = rows.join(pool, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col(key) == F.col("mix_key")))
-    passes = F.expr("transform(sequence(1, cast(ceil(mix_taken / mix_size) as int)), i -> least(mix_size, mix_taken - (i - 1) * mix_size))")
-    out = met.withColumn("mix_words", F.explode(passes))
-    text = F.when(F.col("mix_words") < size, first_words(F.col("text"), F.col("mix_words"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    met = rows.join(pool, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
+    passes = F.expr(f"transform(sequence(1, cast(ceil({taken} / {words}) as int)), i -> least({words}, {taken} - (i - 1) * {words}))")
+    out = met.withColumn(n, F.explode(passes))
+    out = out.withColumn("text", F.when(F.col(n) < size, first_words(F.col("text"), F.col(n))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .blocks import with_block_pairs
 from .components import components
 from .runs import whole_runs
-from .util import materialize
+from .util import free_name, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -139,6 +139,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows without a doc_id cannot be told from others of their component by id and stay. Rows that repeat the
     kept doc_id are reduced to one.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs.columns, "kept_id")
+    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))

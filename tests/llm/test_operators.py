@@ -316,6 +316,9 @@ def test_mixing(spark):
     mixed = mixing.mixed_documents(awkward(spark))
     assert mixed.columns == awkward(spark).columns
     words = sum(len((r["text"] or "").encode().split()) for r in mixed.collect())
+    clashing = awkward(spark).withColumns({c: F.lit(1) for c in ("mix_id", "mix_taken", "row_key", "kept_id", "own_t1", "line_gone", "ord")})
+    assert mixing.mixed_documents(clashing).columns == clashing.columns and mixing.mixed_documents(clashing).count() == mixed.count()
+    assert simhash.drop_near_copies(clashing).count() == 7 and line_dedup.without_boilerplate(clashing).count() == len(AWKWARD)
     assert words == mixing.mix(awkward(spark)).agg(F.sum("taken")).first()[0]
 
 
@@ -344,3 +347,38 @@ def test_mixture_lm_is_a_distribution():
     t = 10 ** mixer.table.reshape(-1, 2, mixture_lm.LEVELS).astype(np.float64)
     assert np.allclose(t.sum(1), 1, atol=1e-5)
     assert math.isclose(sum(2.0 ** -float(s) for s in mixture_lm.SIZE), 1)
+
+
+def test_pipeline(spark, tmp_path):
+    """The stages one after the other on the smallest tables, against what each may do."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = lambda t: len((t or "").encode().split())
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids, texts = set(before), before
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows = docs.collect()
+        assert {r["doc_id"] for r in rows} <= ids and rows
+        ids = {r["doc_id"] for r in rows}
+        if n == 2:
+            fps = np.array([fingerprint(r["text"]) for r in rows], np.uint64)
+            near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+            assert near.sum() == len(rows)
+        if n < 3:
+            assert len(rows) == len(ids)
+            texts = {r["doc_id"]: r["text"] for r in rows}
+        else:
+            taken = Counter()
+            for r in rows:
+                taken[r["doc_id"]] += size(r["text"])
+                assert texts[r["doc_id"]].encode().split()[: size(r["text"])] == r["text"].encode().split()
+            assert all(taken[i] <= 2 * size(texts[i]) for i in taken)
+            kept = [(r["doc_id"], r["text"]) for r in rows]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in kept)
