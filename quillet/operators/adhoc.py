@@ -71,6 +71,13 @@ def describe_table(profiled: DataFrame, table: str) -> DataFrame:
         "column", "kind", "total", "missing", "distinct", "is_unique", F.concat(F.lit("⟨"), F.col("shapes")[0]["value"], F.lit("⟩")).alias("shape"))
 
 
+def profile_column(profiled: DataFrame, table: str, column: str) -> DataFrame:
+    """Everything measured on one column, without cell contents: shapes between brackets, placeholders as they are."""
+    one = profiled.where((F.col("table") == table) & (F.col("column") == column)).drop("top_values", "min_value", "max_value")
+    shown = F.transform("shapes", lambda s: s.withField("value", F.concat(F.lit("⟨"), s["value"], F.lit("⟩"))))
+    return one.withColumn("shapes", shown).withColumn("temporal", F.col("temporal").dropFields("min", "max"))
+
+
 def known_at(findings: DataFrame, table: str, column: str | None = None) -> DataFrame:
     """Findings already reported at a place."""
     here = findings.where(F.col("table") == table)

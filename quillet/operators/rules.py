@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from .findings import ERROR, SCHEMA, SEVERITIES, WARNING
+from .findings import SCHEMA, SEVERITIES, WARNING
 
 EXPECTATIONS = ("not_null", "unique", "positive", "non_negative", "one_of", "matches", "range", "not_future", "references", "sql")
 MOST_VALUES, LONGEST_VALUE = 50, 120
@@ -286,5 +286,3 @@ def propose(spark: SparkSession, tables: dict[str, DataFrame], rule: Rule, claim
     n = sum(r["count"] for r in found)
     return {"accepted": n == claimed_violations, "why": "" if n == claimed_violations else f"{n} rows break it, not {claimed_violations}", "violations": n, "rule": made, "id": made.assertion_id()}
 
-
-DEFAULT_SEVERITY = SEVERITIES[ERROR]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import checks, findings, relate, rules
 from ..operators.histogram import histogram
-from ..operators.profile import profile, settled
+from ..operators.profile import profile, settled, withheld
 from ..sources.delimited import read_folder
 
 
@@ -34,3 +35,15 @@ def audit_folder(spark: SparkSession, path: str, audit_time: datetime, rule_list
     """audit of a folder of files, with its files, notes and rejects."""
     read = read_folder(spark, path)
     return read | audit(spark, read["tables"], audit_time, rule_list, read["notes"], read["rejects"], **kw)
+
+
+def write_report(out: dict[str, DataFrame], path: str, show_values: bool = False) -> None:
+    """An audit's findings and profile as JSON under path; cell contents only if asked for."""
+    findings.export(out["findings"]).write.mode("overwrite").json(f"{path}/findings")
+    shown = out["profile"] if show_values else withheld(out["profile"])
+    rounded = {c: F.round(c, 6) for c, t in shown.dtypes if t == "double"}
+    shown.withColumns(rounded).write.mode("overwrite").json(f"{path}/profile")
+    for part in ("files", "notes", "rejects"):
+        if part in out:
+            frame = out[part].drop("raw") if not show_values else out[part]
+            frame.write.mode("overwrite").json(f"{path}/{part}")

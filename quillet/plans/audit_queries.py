@@ -253,6 +253,23 @@ def referential_integrity(spark, sf_dir):
     return adhoc.referential_integrity(t["orders"], "o_custkey", t["customer"], "c_custkey")
 
 
+_KEYED = "SELECT \"table\", \"column\", \"distinct\" AS d, total - nulls - blanks AS present FROM (" + union(counts_sql(n) for n in ("orders", "customer", "part")) + ")"
+
+
+@query(f'SELECT "table", "column", round(d::DOUBLE / present, 6) AS uniqueness FROM ({_KEYED}) WHERE present > 0 AND d::DOUBLE / present >= 0.9 AND "column" <> \'o_cents\'')
+def candidate_keys(spark, sf_dir):
+    h = histogram(texts(spark, sf_dir, "orders", "customer", "part"))
+    got = relate.candidate_keys(prof.inferred(prof.counts(h))).where("column <> 'o_cents'")
+    return got.select("table", "column", F.round("uniqueness", 6).alias("uniqueness"))
+
+
+@query(f"SELECT 'key.duplicate_values' AS rule, 'orders' AS \"table\", 'o_orderkey' AS \"column\", coalesce(sum(n - 1), 0)::BIGINT AS count FROM (SELECT count(*) AS n FROM {source_sql('orders')} GROUP BY o_orderkey HAVING count(*) > 1)")
+def duplicate_keys(spark, sf_dir):
+    h = histogram({"orders": texts(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_orderstatus")})
+    found = relate.duplicate_keys(relate.candidate_keys(prof.inferred(prof.counts(h))))
+    return findings.verified(found).select("rule", "table", "column", "count")
+
+
 @query(f"SELECT count(*) AS value_count FROM (SELECT DISTINCT lower(trim(role)) FROM {source_sql('conversations')} WHERE {d_blank('role')} EXCEPT SELECT DISTINCT lower(trim(role)) FROM (SELECT 'user' AS role UNION ALL SELECT 'N/A'))")
 def shared_domain(spark, sf_dir):
     t = texts(spark, sf_dir, "conversations")

@@ -13,7 +13,7 @@ from quillet.operators import adhoc, checks, findings, relate, rules, score
 from quillet.operators import profile as prof
 from quillet.operators.histogram import histogram
 from quillet.plans import audit_queries
-from quillet.plans.audit import audit, audit_folder
+from quillet.plans.audit import audit, audit_folder, write_report
 from quillet.sources import delimited
 from quillet.sources.tables import registered
 from quillet.streaming import monitor
@@ -94,7 +94,7 @@ def test_quantiles(spark):
     assert [got["p25"], got["median"], got["p75"]] == pytest.approx(want)
 
 
-def test_audit_finds_what_is_planted(spark):
+def test_audit_finds_what_is_planted(spark, tmp_path):
     t = people(spark)
     rule_list = rules.parse([{"id": "names", "table": "persons", "column": "name", "expect": "not_null"}, {"id": "gone", "table": "absent", "column": "x", "expect": "unique"},
                              {"id": "broken", "table": "persons", "expect": "sql", "where": "no_such > 1"}])
@@ -109,6 +109,10 @@ def test_audit_finds_what_is_planted(spark):
     assert all(r["verified"] for r in found.values() if r["count_query"])
     severities = [r["severity"] for r in out["findings"].collect()]
     assert severities == sorted(severities, reverse=True)
+    write_report(out, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/findings")).count() == len(found) and "top_values" not in spark.read.json(str(tmp_path / "report/profile")).columns
+    assert adhoc.profile_column(out["profile"], "persons", "status").first()["shapes"][0]["value"] == "⟨XXXXXX⟩"
+    assert findings.deduplicated(out["findings"]).count() == len(found) and adhoc.known_at(out["findings"], "persons", "joined").count() >= 4
     rows, cut = findings.offending_rows(spark, found["reference.orphan_values", "orders", "person_id"]["row_query"], 5)
     assert rows.count() == 5 and cut
 
