@@ -130,7 +130,7 @@ EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 def mask(c: str) -> str:
     """E-mail addresses, US social security numbers and long numbers replaced by their kind."""
-    for pattern, name in ((r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", "[email]"), (EDGE + r"\d{3}-\d{2}-\d{4}" + EDGE, "[national-id]"), (EDGE + r"(?:\d[ -]?){12,}\d?" + EDGE, "[long-number]")):
+    for pattern, name in ((r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", "[email]"), (r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)", "[national-id]"), (r"(?<!\w)(?:\d[ -]?){12,}\d?" + EDGE, "[long-number]")):
         c = f"regexp_replace({c}, {literal(pattern)}, '{name}')"
     return c
 

@@ -185,7 +185,7 @@ def numbers_sql(name: str, columns) -> str:
 def numeric_detail(spark, sf_dir):
     t = texts(spark, sf_dir, "lineitem", "events", "orders")
     some = {"lineitem": t["lineitem"].select("l_cents", "l_units", "l_linenumber"), "events": t["events"].select("milli"), "orders": t["orders"].select("o_cents")}
-    got = prof.numeric_detail(histogram(some))
+    got = prof.numeric_detail(histogram(some).persist())
     return got.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p25", "median", "p75")], "negative", "zero", "outliers")
 
 
