@@ -196,6 +196,21 @@ def test_line_dedup(spark, monkeypatch):
     assert line_dedup.without_boilerplate(awkward(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_copied_documents(spark):
+    """A clean document copied over more than MIN_SITES sources keeps its text, and so does the first of near copies."""
+    import corpus_pipeline
+
+    clean, near = "a clean document\nof two lines", "one body\nshared by all\n"
+    rows = [(i, clean, f"s{i}") for i in range(12)] + [(100 + i, f"{near}own {i}", f"s{i}") for i in range(12)]
+    rows += [(200 + i, f"page {i}\nAccept  Cookies\nend {i}", f"s{i}") for i in range(9)] + [(None, clean, "s90"), (300, None, "s1"), (301, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, SF).collect()}
+    assert len(got) == len(rows) and all(got[i] == clean for i in [*range(12), None])
+    assert got[100] == near + "own 0" and all(got[100 + i] == f"own {i}" for i in range(1, 12))
+    assert got[200] == rows[24][1] and all(got[200 + i] == f"page {i}\nend {i}" for i in range(1, 9))
+    assert got[300] is None and got[301] == ""
+
+
 def check_packing(rows, out, capacity=2048):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     by, bins = defaultdict(list), defaultdict(list)
