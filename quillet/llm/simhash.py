@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .blocks import with_block_pairs
 from .components import components
 from .runs import whole_runs
+from .shingles import SHINGLE as SHINGLES
+from .shingles import SIMILARITY, candidates, shingle_set, shingles_of, signature, similar
 from .util import free_name, materialize
 
 SHINGLE = 4
@@ -124,22 +126,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has none: then it is null. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     own = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
+    return _labelled(own).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(own: DataFrame) -> DataFrame:
+    """own (id, fp, further columns) with component_id."""
     fps = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(fingerprint_links(fps))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = named.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return own.join(label, F.col("fp") == F.col("of")).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(label, F.col("fp") == F.col("of")).drop("of")
+
+
+def _signed(shingle: int):
+    """Per row (id, own, text): id, own, fingerprint, MinHash keys and sketch, from one look at the text."""
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.fromiter(map(fingerprint_of, texts), np.uint64, len(texts)).view(np.int64)
+            keys, sketch = zip(*(signature(shingle_set(t, shingle)) for t in texts)) if texts else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                                             names=["id", "own", "fp", "keys", "sketch"])
+    return run
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLES, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component of near copies: that of the least doc_id; columns as they were.
 
-    Rows without a doc_id cannot be told from others of their component by id and stay. Rows that repeat the
-    kept doc_id are reduced to one.
+    Near copies are texts within MAX_BITS bits, as in simhash_components; then, among the rows that stay, texts whose
+    sets of shingle words have an exact Jaccard similarity of at least similarity (pairs are found by MinHash, see
+    shingles.py). Rows without a doc_id cannot be told from others of their component by id and stay. Rows that
+    repeat the kept doc_id are reduced to one.
     """
-    name = free_name(docs.columns, "kept_id")
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
+    own = materialize(text.mapInArrow(_signed(shingle), f"id {kind}, own long, fp long, keys array<long>, sketch binary"))
+    kept = materialize(_labelled(own).where("id = component_id").select("id", "own", "keys", "sketch").dropDuplicates(["id"]))
+    pairs = materialize(candidates(kept))
+    asked = kept.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "own")
+    sets = materialize(text.join(asked, ["id", "own"], "left_semi").dropDuplicates(["id"]).select("id", shingles_of(F.col("text"), shingle).alias("shingles")))
+    copies = components(similar(pairs, sets, similarity)).where("node <> root").select(F.col("node").alias("id"))
+    of_id, of_text = (free_name(docs.columns, c) for c in ("kept_id", "kept_text"))
+    stay = kept.join(copies, "id", "left_anti").select(F.col("id").alias(of_id), F.col("own").alias(of_text))
+    named = docs.join(stay, (F.col("doc_id") == F.col(of_id)) & (F.xxhash64("text") == F.col(of_text)), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillet.llm import embedding_dedup, licenses, line_dedup, mixing, mixture_lm, packing, pii, quality, simhash, topk
+from quillet.llm import embedding_dedup, licenses, line_dedup, mixing, mixture_lm, packing, pii, quality, shingles, simhash, topk
 from quillet.llm.components import components
 from quillet.llm.queries import tokenizer_path
 
@@ -101,6 +101,37 @@ def test_simhash_awkward(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 9]
 
 
+def test_near_copies_by_shingles(spark, monkeypatch):
+    """Of texts whose five-word shingles have a Jaccard similarity of 0.8 or more one stays, however far their fingerprints are."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(60, 300)))]
+        for c in range(4):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 40))):
+                w[at] = f"new{rng.integers(10**6)}"
+            rows.append((1000 * g + c, " ".join(w)))
+    crowd = [f"v{x}" for x in rng.integers(0, 400, 120)]
+    rows += [(900000 + i, " ".join([*crowd[:-1], f"end{i}"])) for i in range(80)] + [(950000, "one two"), (950001, None), (None, " ".join(crowd))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {i: t for i, t in rows if i is not None}
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in text.items()}
+    ids = sorted(text)
+    near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(grams[a] & grams[b]) >= 0.8 * max(1, len(grams[a] | grams[b]))]
+    fps = {i: simhash.fingerprint_of((t or "").encode()) for i, t in text.items()}
+    far = [(a, b) for a, b in near if (fps[a] ^ fps[b]).bit_count() > 4]
+    alike = near + [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 4]
+    want = {i for i, root in least_reachable(ids, alike).items() if i == root}
+    assert len(far) > 50
+    for limit in (4096, 16):
+        monkeypatch.setattr(shingles, "BLOCK_ROWS", limit)
+        out = [r["doc_id"] for r in simhash.drop_near_copies(docs).collect()]
+        kept = {i for i in out if i is not None}
+        assert len(out) == len(kept) + 1 and want <= kept
+        assert sum(a in kept and b in kept for a, b in near) <= 0.02 * len(near)
+
+
 def brute_pii(text):
     spans = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
