@@ -127,8 +127,8 @@ STEP = float(1 << 20)
 
 
 def _kept_rows(n: int, good: float, labelled: int) -> int:
-    """k: the rows, times the upper end (two standard errors) of the labelled share of good ones."""
-    if not labelled:
+    """k: the rows, times the upper end (two standard errors) of the labelled share of good ones; all rows, if none is good."""
+    if not labelled or not good:
         return n
     return min(n, math.ceil(n * (good + 2 * math.sqrt(good * (1 - good) / labelled))))
 

@@ -188,6 +188,14 @@ def test_quality(spark):
     assert quality.selected_documents(awkward(spark), labels).columns == awkward(spark).columns
 
 
+def test_quality_without_good_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
+    out = quality.importance_resample(docs, labels).collect()
+    assert len(out) == 50 and all(r["selected"] and abs(r["log_weight"]) < 1e-9 for r in out)
+    assert quality.selected_documents(docs, labels).count() == 50
+
+
 def test_quality_counts(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string")
     ratios, good, n = quality.log_ratios(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
