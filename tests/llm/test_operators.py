@@ -376,30 +376,114 @@ def test_mixing(spark):
     assert words == mixing.mix(awkward(spark)).agg(F.sum("taken")).first()[0]
 
 
-def test_mixture_lm(spark, tmp_path):
-    rows = [(i, t) for i, t, _ in docs_of(spark)] + [(None, "no id"), (700001, None), (700002, " \n"), (700003, LONG)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    out = mixture_lm.mixture_scores(spark.read.parquet(str(tmp_path / "d"))).collect()
-    part = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
-    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
-    c = Counter(w for i, t in tokens.items() if part(i) for w in t)
+def lm_rows(spark):
+    return [(i, t) for i, t, _ in docs_of(spark)] + [(None, "no id"), (700001, None), (700002, " \n"), (700003, LONG), (700004, "twice told"), (700004, "twice told")]
+
+
+def lm_part(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 10
+
+
+def brute_lm(rows):
+    """score by row, token after token, with counts in plain dictionaries."""
+    m, low = mixture_lm, lambda w: xxhash.xxh3_64_intdigest(w) & 0xFFFFFF
+    texts = [(lm_part(i), m.words_of((t or "").encode())) for i, t in rows]
+    c_model, mixing, order0, after = Counter(), Counter(), np.zeros(1 << m.ORDER0_BITS, np.int64), defaultdict(Counter)
+    for part, words in texts:
+        for previous, w in zip([m.END, *words], words):
+            if part > 1:
+                c_model[w] += 1
+                order0[low(w) & (1 << m.ORDER0_BITS) - 1] += 1
+                after[previous][low(w)] += 1
+            elif part:
+                mixing[w] += 1
+    followers, cells = {}, {}
+    for w, c in after.items():
+        first = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: m.FOLLOWERS]
+        fill = [(0, 0)] * (m.FOLLOWERS - len(first))
+        lows, ns = (np.array([x], dt) for x, dt in zip(zip(*first, *fill), (np.uint32, np.int64)))
+        followers[w] = [x for x, _ in first]
+        cells[w] = m.follower_cells(ns, lows, np.array([sum(c.values())]), np.array([len(c)]), order0)[0]
+    seen, none = np.zeros(2 * int(np.prod(m.FOLLOW_CELLS)), np.int64), 0
+    for part, words in texts:
+        for previous, w in zip([m.END, *words], words) if part == 1 else ():
+            for j, f in enumerate(followers.get(previous, ())):
+                seen[2 * cells[previous][j] + (f == low(w))] += 1
+                if f == low(w):
+                    break
+            else:
+                none += 1
+    slots = [np.zeros(2 << b, np.int64) for b in m.SPELL_BITS]
+    for w in c_model:
+        bit, _, where = m.spelling([w])
+        for t, s in zip(slots, where):
+            np.add.at(t, 2 * s + bit, 1)
+    tables = [m.logit_class(t) for t in slots]
+    spell = np.zeros(2 * int(np.prod(m.SPELL_CELLS)), np.int64)
+    for w in mixing:
+        if not c_model[w]:
+            cell, bit, _ = m.spelling_cells([w], tables)
+            np.add.at(spell, 2 * cell + bit, 1)
+    known = (none - sum(n for w, n in mixing.items() if not c_model[w]) + 1) / (none + 2)
+    mixed, spelling = m.follower_mixer(seen), m.spelling_mixer(spell)
+    out = []
+    for _, words in texts:
+        score = 0.0
+        for previous, w in zip([m.END, *words], words):
+            for j, f in enumerate(followers.get(previous, ())):
+                score += mixed[cells[previous][j], int(f == low(w))]
+                if f == low(w):
+                    break
+            else:
+                if c_model[w]:
+                    score += math.log10(known * c_model[w] / sum(c_model.values()))
+                else:
+                    cell, bit, _ = m.spelling_cells([b"" if w == m.END else w], tables)
+                    score += math.log10(1 - known) + spelling[cell, bit].sum()
+        out.append(score)
+    return out
+
+
+def test_mixture_lm(spark, tmp_path, monkeypatch):
+    rows = lm_rows(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    c = Counter(w for i, t in tokens if lm_part(i) for w in t)
     n, v = sum(c.values()), len(c)
-    assert len(out) == len(rows)
-    for r in out:
-        t = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (part(r["doc_id"]) == 0, len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert -1e9 < r["score"] < 0 and r["bits_per_byte"] > 0
-    held = [r for r in out if r["held_out"] and r["n_tokens"] > 50]
-    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -6
-    assert mixture_lm.mixture_scores(spark.read.parquet(str(tmp_path / "d")).limit(0)).count() == 0
+    want = defaultdict(list)
+    for (i, t), score in zip(tokens, brute_lm(rows)):
+        want[i].append((len(t), sum(c[w] > 0 for w in t), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), score))
+    for blocks, parts in ((mixture_lm.BLOCK_BYTES, 1), (40_000, 5)):
+        monkeypatch.setattr(mixture_lm, "BLOCK_BYTES", blocks)
+        monkeypatch.setattr(mixture_lm, "BUCKET_BYTES", blocks)
+        monkeypatch.setattr(mixture_lm, "HOT_SHARE", 1 << 16 if parts == 1 else 64)
+        out = mixture_lm.mixture_scores(docs.repartition(parts)).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            assert (r["held_out"], r["train_tokens"]) == (lm_part(r["doc_id"]) == 0, n) and r["bits_per_byte"] > 0
+            assert any((r["n_tokens"], r["n_known"]) == w[:2] and math.isclose(r["base_score"], w[2], rel_tol=1e-9) and math.isclose(r["score"], w[3], rel_tol=1e-9) for w in want[r["doc_id"]]), r
+
+
+def test_mixture_lm_beats_the_base(spark):
+    """On the rows held out of a thousand documents, the model's chance of the texts is above the unigram base's."""
+    out = mixture_lm.mixture_scores(spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert out["score"] > 0.95 * out["base"]
+
+
+def test_mixture_lm_awkward(spark):
+    clashing = awkward(spark).withColumns({c: F.lit(1) for c in ("id", "part", "block", "kind", "data", "bucket", "n")})
+    assert mixture_lm.mixture_scores(clashing).count() == len(AWKWARD)
+    assert mixture_lm.mixture_scores(awkward(spark).limit(0)).count() == 0
+    held = [i for i in range(1, 200) if lm_part(i) == 0]
+    nothing = mixture_lm.mixture_scores(spark.createDataFrame([(i, "only held out") for i in held], "doc_id long, text string")).collect()
+    assert len(nothing) == len(held) and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and -100 < r["score"] < 0 for r in nothing)
 
 
 def test_mixture_lm_is_a_distribution():
-    """Over one bit, and over all words of a small code, chances add up to one."""
-    mixer = mixture_lm.Mixer(np.zeros(mixture_lm.REPORT))
-    t = 10 ** mixer.table.reshape(-1, 2, mixture_lm.LEVELS).astype(np.float64)
-    assert np.allclose(t.sum(1), 1, atol=1e-5)
+    """Chances of a bit add up to one in every cell, and so do those of all words that the code can spell."""
+    rng = np.random.default_rng(0)
+    for mixer, cells in ((mixture_lm.follower_mixer, mixture_lm.FOLLOW_CELLS), (mixture_lm.spelling_mixer, mixture_lm.SPELL_CELLS)):
+        assert np.allclose((10 ** mixer(rng.integers(0, 9, 2 * int(np.prod(cells))))).sum(1), 1)
     assert math.isclose(sum(2.0 ** -float(s) for s in mixture_lm.SIZE), 1)
 
 
