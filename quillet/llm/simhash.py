@@ -19,7 +19,7 @@ from .components import components
 from .runs import whole_runs
 from .shingles import SHINGLE as SHINGLES
 from .shingles import SIMILARITY, candidates, shingle_set, shingles_of, signature, similar
-from .util import free_name, materialize
+from .util import discard, free_name, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -154,20 +154,30 @@ def _signed(shingle: int):
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLES, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component of near copies: that of the least doc_id; columns as they were.
 
-    Near copies are texts within MAX_BITS bits, as in simhash_components; then, among the rows that stay, texts whose
+    Near copies are texts within MAX_BITS bits, as in simhash_components; then, among those that stay, texts whose
     sets of shingle words have an exact Jaccard similarity of at least similarity (pairs are found by MinHash, see
-    shingles.py). Rows without a doc_id cannot be told from others of their component by id and stay. Rows that
-    repeat the kept doc_id are reduced to one.
+    shingles.py). What is compared are distinct texts, so two texts under one doc_id are told apart and both stay if
+    they differ. Null and blank texts are near copies of each other. Rows without a doc_id stay; rows that repeat
+    doc_id and text of the kept one are reduced to one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
-    own = materialize(text.mapInArrow(_signed(shingle), f"id {kind}, own long, fp long, keys array<long>, sketch binary"))
-    kept = materialize(_labelled(own).where("id = component_id").select("id", "own", "keys", "sketch").dropDuplicates(["id"]))
+    text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
+    signed = text.mapInArrow(_signed(shingle), f"id {kind}, own long, fp long, keys array<long>, sketch binary")
+    texts = materialize(signed.groupBy("own").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    roots = components(fingerprint_links(texts.select("fp").distinct()))
+    named = texts.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first", "own")
+    least = named.groupBy("root").agg(F.min(F.struct("first", "own")).alias("f")).select(F.col("f.own").alias("id"))
+    kept = materialize(texts.withColumnRenamed("own", "id").join(least, "id", "left_semi").select("id", "first", "keys", "sketch"))
+    discard(texts)
     pairs = materialize(candidates(kept))
-    asked = kept.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "own")
-    sets = materialize(text.join(asked, ["id", "own"], "left_semi").dropDuplicates(["id"]).select("id", shingles_of(F.col("text"), shingle).alias("shingles")))
-    copies = components(similar(pairs, sets, similarity)).where("node <> root").select(F.col("node").alias("id"))
-    of_id, of_text = (free_name(docs.columns, c) for c in ("kept_id", "kept_text"))
-    stay = kept.join(copies, "id", "left_anti").select(F.col("id").alias(of_id), F.col("own").alias(of_text))
-    named = docs.join(stay, (F.col("doc_id") == F.col(of_id)) & (F.xxhash64("text") == F.col(of_text)), "left_semi").dropDuplicates(["doc_id"])
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct().join(kept.select(F.col("id").alias("own"), F.col("first").alias("id")), "own")
+    sets = text.join(asked, ["id", "own"], "left_semi").dropDuplicates(["own"]).select(F.col("own").alias("id"), shingles_of(F.col("text"), shingle).alias("shingles"))
+    sets = materialize(sets)
+    roots = components(similar(pairs, sets, similarity))
+    discard(sets)
+    one = kept.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(F.struct("first", "id")).alias("f"))
+    of_id, of_text, own = (free_name(docs.columns, c) for c in ("kept_id", "kept_text", "own_text"))
+    stay = one.select(F.col("f.first").alias(of_id), F.col("f.id").alias(of_text))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    named = keyed.join(stay, (F.col("doc_id") == F.col(of_id)) & (F.col(own) == F.col(of_text)), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return named.unionByName(docs.where("doc_id IS NULL"))

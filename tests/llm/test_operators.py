@@ -132,6 +132,12 @@ def test_near_copies_by_shingles(spark, monkeypatch):
         assert sum(a in kept and b in kept for a, b in near) <= 0.02 * len(near)
 
 
+def test_two_texts_of_one_id_both_stay(spark):
+    rows = [(1, "first text of the id, quite long enough"), (1, "another matter altogether is told here"), (1, "first text of the id, quite long enough"), (2, "Another matter altogether is told here"), (3, None), (3, ""), (None, None)]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == [(0, ""), (1, rows[1][1]), (1, rows[0][1]), (3, "")]
+
+
 def brute_pii(text):
     spans = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
@@ -310,9 +316,28 @@ def test_embeddings(spark):
     comp = least_reachable(ids, [(ids[a], ids[b]) for a, b in np.argwhere(link) if a < b])
     assert sum(got[i]["component_id"] == comp[i] for i in ids) >= 0.97 * len(ids)
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in (2000, 2001, 2002, 2003, 2004))
+    named = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.01]), (7, [0.0, 1.0]), (None, [-1.0, 0.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "uid", "code", "key", "mult")})
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_components(named).collect() if r["component_id"]) == [(0, 1, 7), (7, 0, 7), (7, 1, 7)]
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_recall_in_the_querys_form(spark):
+    """Recall of links over the query's own vectors and copies of each at planted cosines, in the table's own form."""
+    rng = np.random.default_rng(6)
+    x = np.array([r[0] for r in spark.read.parquet(SF.replace("0.001", "0.1") + "/embeddings.parquet").where("embedding IS NOT NULL").select("embedding").collect()], np.float64)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    cos = rng.uniform(0.9, 0.99, len(x))
+    near = cos[:, None] * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(1 - cos[:, None] ** 2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = np.concatenate([x, near]).astype(np.float32)
+    got = embedding_dedup.embedding_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>"))
+    found = sum(r["n_links"] for r in got.collect()) // 2
+    v = rows.astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = sum(int((v[s : s + 1000] @ v.T >= 0.9).sum()) for s in range(0, len(v), 1000)) - len(v)
+    assert want // 2 >= 0.9 * len(x) and 0.95 * (want // 2) <= found <= want // 2
+
+
 def test_embeddings_hot_blocks(spark, monkeypatch):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     key = lambda df: sorted(map(tuple, df.collect()))
@@ -324,6 +349,7 @@ def test_embeddings_hot_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("block", [8192, 64])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "QUERY_ROWS", block // 8)
     monkeypatch.setattr(topk, "SEED_ROWS", 16)
     rng = np.random.default_rng(2)
     real = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
@@ -336,6 +362,12 @@ def test_topk(spark, monkeypatch, block):
     ok = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if v is not None and np.isfinite(v).all()}
     want = {q: sorted(((i, int(x @ ok[q])) for i, x in ok.items() if i != q), key=lambda p: (-p[1], p[0]))[:5] for q in ok if q % 50 == 0}
     assert got == want
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (2, [3.0, 0.0]), (None, [9.0, 9.0]), (5, [1e13, 7.0])], "vec_id long, embedding array<double>")
+    twice = twice.withColumns({c: F.lit(1) for c in ("id", "v", "norm", "block", "chunk", "qid")})
+    out = topk.top_k(twice, twice.where("vec_id = 2 AND embedding[0] = 1"), 9).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(5, 256 * 256 * 10**13), (1, 2 * 65536), (1, 65536)]
+    huge = topk.top_k(twice, twice.where("vec_id = 5"), 2).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in huge] == [(2, 3 * 65536 * 10**13), (1, 2 * 65536 * 10**13)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
