@@ -149,7 +149,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"query_id": cat(got_q), "vec_id": cat(got_v), "score": cat(got_s)})
 
-    met = blocked.join(sent.select("block", "chunk").distinct(), "block") if chunks > 1 else blocked.withColumn("chunk", F.lit(0))
-    found = met.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(search, out)
+    lots = sent.select(F.col("block").alias("of_block"), F.col("chunk").alias("lot")).distinct()
+    met = blocked.join(lots, F.col("block") == F.col("of_block")) if chunks > 1 else blocked.withColumn("lot", F.lit(0))
+    found = met.groupBy("block", "lot").cogroup(sent.groupBy("block", "chunk")).applyInArrow(search, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
