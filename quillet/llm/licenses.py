@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,9 @@ Permission is granted to anyone to use this software for any purpose, including
     "All rights reserved": "All rights reserved.",
 }
 
+# The longer ones, each in a file of its own, named by its SPDX identifier (BSD-3-Clause-UC: the University's wording).
+LICENSES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
 # Words that count as others, after normalisation to single-spaced lower-case words.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "authorisation": "authorization",
@@ -57,6 +62,8 @@ SPELLINGS = {
 SPLIT_WORD = ("non infringement", "noninfringement")
 #: Titles that may head a text without changing which licence it is.
 TITLES = "(the )?(mit|isc|zlib|bsd zero clause) license"
+#: A line that states a copyright: a sign or a year follows the word, so lines that merely begin with it stay.
+COPYRIGHT_LINE = r"[ \t>*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]*[0-9<\[]|©)[^\n]*"
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -67,7 +74,7 @@ def canonical(text: Column) -> Column:
     digits and non-ASCII ones is one space; a licence title at the start dropped; spellings unified.
     """
     low = F.translate(text, *_LETTERS)
-    low = F.regexp_replace(low, r"(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©)[^\n]*", "\n")
+    low = F.regexp_replace(low, rf"(^|\n){COPYRIGHT_LINE}", "\n")
     words = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     words = F.replace(words, F.lit(SPLIT_WORD[0]), F.lit(SPLIT_WORD[1]))
 
@@ -82,7 +89,7 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): one row per known licence; a fixed table of a dozen rows."""
+    """(digest, license): one row per known licence; a fixed table of some dozen rows."""
     rows = spark.createDataFrame(list(LICENSES.items()), "license string, body string")
     return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 

@@ -78,7 +78,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 
 def _canonical_sql(text: str) -> str:
-    low = rf"regexp_replace(translate({text}, {LETTERS}), '(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
+    low = rf"regexp_replace(translate({text}, {LETTERS}), '(^|\n){licenses.COPYRIGHT_LINE}', chr(10), 'g')"
     words = rf"replace(trim(regexp_replace({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), '{licenses.SPLIT_WORD[0]}', '{licenses.SPLIT_WORD[1]}')"
     case = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.SPELLINGS.items())
     return rf"regexp_replace(array_to_string(list_transform(string_split({words}, ' '), lambda w: CASE w {case} ELSE w END), ' '), '^{licenses.TITLES} (permission|this software)', '\3')"
