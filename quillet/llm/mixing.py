@@ -3,7 +3,8 @@
 Every source is shuffled by a hash and cut into blocks of equal word counts. Slot i of the schedule gets the
 point frac((i + 1) / golden ratio), mapped through the cumulative weights of the sources' slots; the slots of a
 source are ranked, and rank r takes the source's block r modulo its number of blocks. Slots are joined with
-blocks by (source, block), so a hot source is spread over its blocks.
+blocks by (source, block), so a hot source is spread over its blocks. Sources may be many: they are numbered, given
+their targets and looked up by joins; only sums over them reach the driver.
 """
 
 from __future__ import annotations
@@ -12,34 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import free_name, materialize, unit_hash, word_count
+from .util import discard, free_name, materialize, unit_hash, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Words of a block at most, and blocks of a source at least (while it has that many words).
 BLOCK_WORDS, LEAST_BLOCKS = 2048, 256
-CHUNK_ROWS, CHUNK_SLOTS = 8192, 65536
+CHUNK_ROWS, CHUNK_SLOTS, CHUNK_SOURCES = 8192, 65536, 4096
+#: Sources up to which their table is broadcast; slots that a cell of the lookup by cumulative weights holds about.
+FEW_SOURCES, CELL_SLOTS = 50_000, 64
 GOLDEN = 0.6180339887498949
 SEED = 17
 
 
-def targets(sizes: list[int]) -> list[float]:
-    """Targets of sources in their order: SHARE of all words by WEIGHTS, none above MOST times its size."""
-    left, open_, out = SHARE * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        whole = sum(WEIGHTS[i % 3] for i in open_)
-        full = [i for i in sorted(open_) if left * WEIGHTS[i % 3] / whole > MOST * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * WEIGHTS[i % 3] / whole
-            break
-        for i in full:
-            out[i] = MOST * sizes[i]
-        left -= sum(out[i] for i in full)
-        open_ -= set(full)
-    return out
-
-
 def _running(df: DataFrame, by: list[str], chunk: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """df plus out: the sum of value over the earlier rows of its group by; two levels, so that no group meets in one task."""
     sums = df.groupBy(*by, chunk).agg(F.sum(value).alias("chunk_sum"))
@@ -50,48 +36,71 @@ def _running(df: DataFrame, by: list[str], chunk: str, order: list[Column], valu
     return df.join(sums, on).withColumn(out, F.col("before") + F.coalesce(within, F.lit(0))).drop("before", *(f"of_{c}" for c in [*by, chunk]))
 
 
-def source_plan(sized: DataFrame) -> DataFrame:
-    """One row per source of sized (source, size): s, source_size, target, block, blocks, slots.
+def with_targets(sources: DataFrame) -> DataFrame:
+    """sources (s, size: s from 0 in their order) plus target: SHARE of all words by WEIGHTS, none above MOST times its size.
 
-    The sources, one row each, pass through the driver as a list of names and sums: the water-filling of targets
-    looks at all of them. Their order is by code point, null last.
+    What sources beyond MOST leave is dealt out again by weight. The share of a unit of weight only grows from one
+    round to the next, so each round is one sum over the sources that this share fills.
     """
-    spark = sized.sparkSession
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    rows = []
-    for i, (r, target) in enumerate(zip(sums, targets([r["size"] for r in sums]))):
-        size = r["size"]
-        block = max(1, min(BLOCK_WORDS, size // LEAST_BLOCKS))
-        blocks = -(-size // block)
-        laps, rest = divmod(target, size) if size else (0, 0)
-        slots = int(laps) * blocks + min(blocks, round(rest / block))
-        rows.append((i, r["source"], size, float(target), block, blocks, int(slots)))
-    return spark.createDataFrame(rows, f"s int, source {sized.schema['source'].dataType.simpleString()}, source_size long, target double, block long, blocks long, slots long")
+    weighted = sources.withColumn("weight", F.element_at(F.lit(list(WEIGHTS)), (F.col("s") % len(WEIGHTS) + 1).cast("int")))
+    whole = weighted.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, weight = SHARE * (whole["size"] or 0), whole["weight"] or 1
+
+    def share() -> Column:
+        return F.lit(left) * F.col("weight") / F.lit(weight)
+
+    while True:
+        full = weighted.where(share() > MOST * F.col("size")).agg(F.sum(MOST * F.col("size")).alias("size"), F.sum("weight").alias("weight")).first()
+        now = SHARE * (whole["size"] or 0) - (full["size"] or 0.0), (whole["weight"] or 1) - (full["weight"] or 0)
+        if now == (left, weight) or not now[1]:
+            break
+        left, weight = now
+    return weighted.withColumn("target", F.least(share(), MOST * F.col("size")).cast("double")).drop("weight")
+
+
+def source_plan(sized: DataFrame) -> DataFrame:
+    """One row per source of sized (source, size): s (its place by code point, null last), source_size, target, block, blocks, slots."""
+    last = F.col("source").asc_nulls_last()
+    sums = materialize(sized.groupBy("source").agg(F.sum("size").alias("size")).orderBy(last).withColumn("part", F.spark_partition_id()))
+    counts, upto = {r["part"]: r["count"] for r in sums.groupBy("part").count().collect()}, 0  # one per partition
+    first = []
+    for part in range(max(counts, default=0) + 1):
+        first.append(upto)
+        upto += counts.get(part, 0)
+    numbered = sums.withColumn("s", F.element_at(F.lit(first), F.col("part") + 1) + F.row_number().over(Window.partitionBy("part").orderBy(last)) - 1)
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("size") / LEAST_BLOCKS))).cast("long")
+    told = with_targets(numbered.select(F.col("s").cast("long"), "source", "size")).withColumn("block", block).withColumn("blocks", F.ceil(F.col("size") / F.col("block")).cast("long"))
+    laps = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+    rest = F.rint((F.col("target") - laps * F.col("size")) / F.col("block"))
+    slots = (laps * F.col("blocks") + F.least(F.col("blocks"), rest)).cast("long")
+    plan = materialize(told.select("s", "source", F.col("size").alias("source_size"), "target", "block", "blocks", slots.alias("slots")))
+    discard(sums)
+    return plan
 
 
 def schedule(plan: DataFrame) -> DataFrame:
     """(s, block_no, times): how often the schedule takes each block of each source."""
     spark = plan.sparkSession
-    rows = plan.where("slots > 0").orderBy("s").collect()
-    total = sum(r["slots"] for r in rows)
+    taken = plan.where("slots > 0").select("s", "slots", "blocks", F.floor(F.col("s") / CHUNK_SOURCES).alias("chunk"))
+    r = taken.agg(F.sum("slots").alias("slots"), F.count("*").alias("n")).first()
+    total = r["slots"] or 0
     if not total:
-        return spark.createDataFrame([], "s int, block_no long, times long")
+        return spark.createDataFrame([], "s long, block_no long, times long")
+    cells = max(1, total // CELL_SLOTS)
+
+    def cell(x: Column) -> Column:
+        return F.floor(x * F.lit(float(cells)) / F.lit(float(total)))
+
+    # the cumulative weights, by the cells they reach into: a slot meets the sources of its own cell only
+    spans = _running(taken, [], "chunk", [F.col("s")], F.col("slots"), "low").withColumn("high", F.col("low") + F.col("slots"))
+    spans = spans.withColumn("of_cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))).select("s", "slots", "blocks", "low", "high", "of_cell")
     # some slots more than needed: the golden-ratio sequence gives a source its share up to a few slots
-    slots = spark.range(total + total // 50 + 64 * len(rows))
-    point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    bounds, upto = [], 0
-    for r in rows:
-        upto += r["slots"]
-        bounds.append((r["s"], upto / total, r["slots"], r["blocks"]))
-    # the cumulative weights as one constant array, one entry per source, searched by every slot
-    weights = F.lit([b[1] for b in bounds[:-1]]) if len(bounds) > 1 else F.array().cast("array<double>")
-    nth = F.size(F.filter(weights, lambda w: w <= point))
-    which = spark.createDataFrame([(n, b[0], b[2], b[3]) for n, b in enumerate(bounds)], "nth int, s int, slots long, blocks long")
-    slots = slots.select("id", nth.alias("nth"), F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
-    ranked = _running(slots, ["nth"], "chunk", [F.col("id")], F.lit(1), "rank")
-    taken = ranked.join(which, "nth").where("rank < slots")
-    return taken.groupBy("s", F.expr("rank % blocks").alias("block_no")).agg(F.count("*").alias("times"))
+    slots = spark.range(total + total // 50 + 64 * r["n"])
+    slots = slots.withColumn("x", F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)) * F.lit(float(total))).withColumn("cell", cell(F.col("x")))
+    met = slots.join(spans, (F.col("cell") == F.col("of_cell")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    met = met.select("id", "s", "slots", "blocks", F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
+    ranked = _running(met, ["s"], "chunk", [F.col("id")], F.lit(1), "rank").where("rank < slots")
+    return ranked.groupBy("s", F.expr("rank % blocks").alias("block_no")).agg(F.count("*").alias("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: list[str] | None = None) -> DataFrame:
@@ -107,7 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                     *(F.col(c).alias(f"extra_{c}") for c in extra)))
     plan = source_plan(sized)
     chunks = max(1, sized.count() // CHUNK_ROWS)
-    placed = sized.join(F.broadcast(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    named = plan.withColumnRenamed("source", "of")
+    named = F.broadcast(named) if plan.count() <= FEW_SOURCES else named
+    placed = sized.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     place = unit_hash(F.lit(SEED), F.col("id"), F.col("size"))
     placed = placed.withColumn("place", place).withColumn("chunk", F.floor(F.col("place") * chunks).cast("int"))
     order = [F.col("place"), F.col("id"), F.col("size"), *(F.col(f"extra_{c}") for c in extra)]

@@ -409,10 +409,50 @@ def test_licenses(spark):
     rows = [(1, mit), (2, mit.replace("<year> <copyright holders>", "2020 Somebody, Inc.").upper()), (3, mit.split("\n\n", 2)[2].replace("sublicense", "sublicence").replace(", ", " ,\n")), (4, mit + " and more"), (5, None), (6, ""), (7, "released under the MIT licence")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["license"] for i in range(1, 8)] == ["MIT", "MIT", "MIT", None, None, None, "MIT notice"]
+    whole = spark.createDataFrame([(n, name, "\n " + body.upper().replace(" ", " \t ").replace("\n", "\r\n").replace(",", ";")) for n, (name, body) in enumerate(licenses.LICENSES.items())], "doc_id long, name string, text string")
+    found = licenses.scan_licenses(whole.withColumns({c: F.lit(1) for c in ("digest", "license", "id")})).join(whole.select("doc_id", "name"), "doc_id").collect()
+    assert len(found) == len(licenses.LICENSES) >= 22 and all(r["license"] == r["name"] for r in found)
     assert got[5]["digest"] is None and got[6]["digest"] == hashlib.sha256(b"").hexdigest()
     assert licenses.scan_licenses(awkward(spark)).count() == len(AWKWARD) and licenses.scan_licenses(awkward(spark).limit(0)).count() == 0
 
 
+def mix_targets(sizes):
+    """Targets of sources in their order, one round after the other."""
+    left, open_, out = mixing.SHARE * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        whole = sum(mixing.WEIGHTS[i % 3] for i in open_)
+        full = [i for i in sorted(open_) if left * mixing.WEIGHTS[i % 3] / whole > mixing.MOST * sizes[i]]
+        if not full:
+            for i in open_:
+                out[i] = left * mixing.WEIGHTS[i % 3] / whole
+            break
+        for i in full:
+            out[i] = mixing.MOST * sizes[i]
+        left -= sum(out[i] for i in full)
+        open_ -= set(full)
+    return out
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mixing_many_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    monkeypatch.setattr(mixing, "CHUNK_SOURCES", 32)
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 40)), f"site{int(rng.integers(0, 900))}") for i in range(3000)] + [(9000 + i, "v " * 500, "big") for i in range(60)] + [(9900, "", "nothing"), (9901, "one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(x for x in sizes if x is not None) + [None]
+    want = dict(zip(names, mix_targets([sizes[n] for n in names])))
+    out = mixing.mix(df).collect()
+    source = {i: s for i, _, s in rows}
+    for r in out:
+        assert r["source_size"] == sizes[source[r["doc_id"]]] and math.isclose(r["target"], want[source[r["doc_id"]]], rel_tol=1e-12) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert len(out) == len(rows) and all(abs(taken[n] - want[n]) <= max(2, 0.01 * want[n]) for n in names)
+
+
 def test_mixing(spark):
     rows = [(i, t, s) for i, t, s in docs_of(spark)] + [(90000 + n, t, s) for n, (_, t, _, s) in enumerate(AWKWARD)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -421,7 +461,7 @@ def test_mixing(spark):
     size = {i: len((t or "").encode().split()) for i, t, _ in rows}
     names = sorted({s for _, _, s in rows if s is not None}) + [None]
     per = [sum(size[i] for i, _, x in rows if x == s) for s in names]
-    want = dict(zip(names, mixing.targets(per)))
+    want = dict(zip(names, mix_targets(per)))
     assert abs(sum(want.values()) - 1.5 * sum(per)) < 1e-6 * sum(per)
     source, taken = {i: s for i, _, s in rows}, Counter()
     for r in out:
