@@ -29,7 +29,7 @@ DATE_FORMATS = (
     ("day first, two-digit year", "d/M/yy", r"\d{1,2}/\d{1,2}/\d{2}"),
     ("month first, two-digit year", "M/d/yy", r"\d{1,2}/\d{1,2}/\d{2}"),
 )
-#: Formats that count as a date when kinds are inferred (places in DATE_FORMATS), besides ISO.
+# The formats that count as a date when kinds are inferred (places in DATE_FORMATS), besides ISO.
 INFERENCE_FORMATS = (1, 2, 4, 6, 3, 7)
 DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 TIMESTAMP = r"\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?"
@@ -124,12 +124,13 @@ def shape(c: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{Nd}}', '9'), '\\p{{L}}', 'X'), '\\s', ' ')"
 
 
-#: A word boundary in which only ASCII letters, digits and _ make words.
+#: A word boundary in which only ASCII letters, digits and _ make words, as \\w does; Java's own boundary also counts other letters.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def mask(c: str) -> str:
     """E-mail addresses, US social security numbers and long numbers replaced by their kind."""
+    # The three patterns and their names.
     for pattern, name in ((r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", "[email]"), (r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)", "[national-id]"), (r"(?<!\w)(?:\d[ -]?){12,}\d?" + EDGE, "[long-number]")):
         c = f"regexp_replace({c}, {literal(pattern)}, '{name}')"
     return c

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,22 +15,41 @@ from . import findings as K
 MOST_ROWS, MOST_SAMPLES = 10_000, 50
 
 
+def reads_only(spark: SparkSession, query: str) -> bool:
+    """Whether a text is one statement that only reads: no command and no write stands anywhere in the plan Spark parses it to."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except ParseException:
+        return False
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    refused = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(r.isInstance(node) for r in refused):
+            return False
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def run_sql(spark: SparkSession, query: str, statistics: tuple[str, ...] = (), limit: int = MOST_ROWS, show_values: bool = False) -> tuple[DataFrame, bool]:
     """The rows of one SELECT over the registered tables, and whether they were cut at limit.
 
-    Columns named in statistics pass if they are numbers; every other cell is shown as its shape.
+    Columns named in statistics pass if they are numbers; every other cell is shown as its shape. Anything but one
+    reading statement is refused before it runs.
     """
-    if not re.match(r"(?is)^\s*(select|with|\()", query) or ";" in query.strip().rstrip(";"):
+    limit = min(limit, MOST_ROWS)
+    if not reads_only(spark, query):
         raise ValueError("one SELECT at a time")
-    found = spark.sql(query.strip().rstrip(";"))
-    limited = found.limit(limit + 1)
-    cut = limited.count() > limit
-    shown = []
+    found = spark.sql(query)
+    got = found.limit(limit + 1).collect()  # run once, so that the rows and the flag agree; limit is at most MOST_ROWS
+    limited, cut, shown = spark.createDataFrame(got[:limit], found.schema), len(got) > limit, []
     for f in found.schema:
         c = P.ident(f.name)
         plain = f.name in statistics and isinstance(f.dataType, T.NumericType)
         shown.append(F.col(c) if plain else F.expr(P.redacted(f"cast({c} AS string)", show_values)).alias(f.name))
-    return limited.limit(limit).select(*shown), cut
+    return limited.select(*shown), cut
 
 
 def candidate_key(df: DataFrame, columns: list[str]) -> DataFrame:

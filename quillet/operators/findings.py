@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, ParseException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,25 +63,50 @@ def reaches(findings: DataFrame, threshold: int) -> bool:
     return not findings.where(F.col("severity") >= threshold).isEmpty()
 
 
+#: What a query may fail with by its own fault; anything else, as a lost executor, is not the query's and is raised.
+FAULTS = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, DateTimeException, ArrayIndexOutOfBoundsException, SparkRuntimeException)
+#: Counts of rows of one table under a condition on single rows: these are taken together, in one pass over the table.
+ROW_COUNT = re.compile(r"SELECT count\(\*\) FROM (`(?:[^`]|``)+`) WHERE (.*)", re.DOTALL)
+
+
 def measure(spark: SparkSession, queries: dict[str, str]) -> dict[str, int | None]:
-    """The number each count query gives; null if it cannot run. Many queries run as one union, singly only on failure."""
+    """The number each count query gives; null if it cannot run.
+
+    Counts of one table's rows take one pass over it, other queries run as one union; singly only where that fails.
+    """
     out: dict[str, int | None] = {}
 
-    def batch(keys: list[str]) -> None:
-        text = " UNION ALL ".join(f"SELECT '{k}' AS k, ({queries[k]}) AS n" for k in keys)
+    def alone(query: str) -> int | None:
+        try:
+            return spark.sql(query).first()[0]
+        except FAULTS:
+            return None
+
+    def batch(keys: list[str], text) -> None:
         try:
-            out.update((r["k"], r["n"]) for r in spark.sql(text).collect())
-        except Exception:  # noqa: BLE001  a query of the user's may fail in any way
+            row = spark.sql(text(keys)).first()
+            out.update((k, row[i]) for i, k in enumerate(keys))
+        except FAULTS:
             if len(keys) == 1:
-                out[keys[0]] = None
+                out[keys[0]] = alone(queries[keys[0]])
                 return
             half = len(keys) // 2
-            batch(keys[:half])
-            batch(keys[half:])
-
-    keys = list(queries)
-    for at in range(0, len(keys), BATCH):
-        batch(keys[at : at + BATCH])
+            batch(keys[:half], text)
+            batch(keys[half:], text)
+
+    per_table: dict[str, list[str]] = {}
+    for k, q in queries.items():
+        m = ROW_COUNT.fullmatch(q)
+        per_table.setdefault(m[1] if m and "select" not in m[2].lower() else "", []).append(k)
+    for table, keys in per_table.items():
+        def sums(some: list[str], table=table) -> str:
+            return "SELECT " + ", ".join(f"coalesce(sum(CASE WHEN {ROW_COUNT.fullmatch(queries[k])[2]} THEN 1 END), 0) AS n{i}" for i, k in enumerate(some)) + f" FROM {table}"
+
+        def values(some: list[str]) -> str:
+            return "SELECT " + ", ".join(f"({queries[k]}) AS n{i}" for i, k in enumerate(some))
+
+        for at in range(0, len(keys), BATCH):
+            batch(keys[at : at + BATCH], sums if table else values)
     return out
 
 
@@ -106,7 +134,8 @@ def offending_rows(spark: SparkSession, row_query: str, limit: int = 100) -> tup
     """The rows a finding's query selects, at most limit (1000 at most), and whether there are more."""
     limit = min(limit, 1000)
     found = spark.sql(f"SELECT * FROM ({row_query}) LIMIT {limit + 1}")
-    return found.limit(limit), found.count() > limit
+    rows = found.collect()  # run once: 1001 rows at most
+    return spark.createDataFrame(rows[:limit], found.schema), len(rows) > limit
 
 
 def export(findings: DataFrame) -> DataFrame:

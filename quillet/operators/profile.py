@@ -86,8 +86,13 @@ def _top(df: DataFrame, value: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _per_column(df: DataFrame) -> DataFrame:
+    """A frame with a row per column of the data set, for joins with values: computed once and sent to them, so values stay where they are."""
+    return F.broadcast(settled(df))
+
+
 def _shared(df: DataFrame, h: DataFrame, value: str) -> DataFrame:
-    present = h.groupBy(*KEY).agg(_sum("value IS NOT NULL").alias("present"))
+    present = _per_column(h.groupBy(*KEY).agg(_sum("value IS NOT NULL").alias("present")))
     return df.join(present, KEY).select(*KEY, "rank", F.col(value).alias("value"), "n", (F.col("n") / F.col("present")).alias("share"))
 
 
@@ -106,7 +111,7 @@ def sentinels(h: DataFrame) -> DataFrame:
     """Placeholders and magic numbers per column, with counts and share of all rows, commonest first."""
     hits = h.where(f"{P.is_sentinel('value')} OR {P.is_numeric_sentinel('value')}")
     hits = hits.groupBy(*KEY, F.expr(P.normalized("value")).alias("value")).agg(F.sum("n").alias("n"))
-    total = h.groupBy(*KEY).agg(F.sum("n").alias("total"))
+    total = _per_column(h.groupBy(*KEY).agg(F.sum("n").alias("total")))
     return hits.join(total, KEY).select(*KEY, "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -127,7 +132,7 @@ def quantiles(x: DataFrame) -> DataFrame:
     holds = F.lit(False)
     for w in wanted:
         holds = holds | ((w >= F.col("before")) & (w < F.col("before") + F.col("inside")))
-    few = x.drop("whole").join(sums.where(holds), [*KEY, "cut"])
+    few = x.drop("whole").join(_per_column(sums.where(holds)), [*KEY, "cut"])  # six ranges a column at most
     upto = F.sum("n").over(Window.partitionBy(*KEY, "cut").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     few = few.withColumn("stop", F.col("before") + upto).withColumn("start", F.col("stop") - F.col("n"))
 
@@ -141,15 +146,18 @@ def quantiles(x: DataFrame) -> DataFrame:
 def numeric_detail(h: DataFrame) -> DataFrame:
     """Count, range, mean, deviation (mean first, then the squares), quartiles, negatives, zeros and outliers of numbers."""
     x = h.where(P.non_blank("value")).select(*KEY, F.expr(P.number("value")).alias("x"), "n").where("x IS NOT NULL")
-    x = x.groupBy(*KEY, "x").agg(F.sum("n").alias("n"))
+    x = x.groupBy(*KEY, "x").agg(F.sum("n").alias("n")).persist()
     first = x.groupBy(*KEY).agg(F.sum("n").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
                                 _sum("x < 0").alias("negative"), _sum("x = 0").alias("zero"))
-    spread = x.join(first.select(*KEY, "mean", "count"), KEY).groupBy(*KEY).agg(
+    first = settled(first)
+    spread = x.join(F.broadcast(first.select(*KEY, "mean", "count")), KEY).groupBy(*KEY).agg(
         F.sqrt(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)) / F.first(F.nullif(F.col("count") - 1, F.lit(0)))).alias("stddev"))
-    stats = first.join(spread, KEY).withColumn("stddev", F.coalesce("stddev", F.lit(0.0)))
-    far = x.join(stats.select(*KEY, "mean", "stddev", "count"), KEY).groupBy(*KEY).agg(
+    stats = settled(first.join(spread, KEY).withColumn("stddev", F.coalesce("stddev", F.lit(0.0))))
+    far = x.join(F.broadcast(stats.select(*KEY, "mean", "stddev", "count")), KEY).groupBy(*KEY).agg(
         _sum(f"stddev > 0 AND count > 2 AND abs(x - mean) > {SIGMA} * stddev").alias("outliers"))
-    return stats.join(far, KEY).join(quantiles(x), KEY)
+    out = settled(stats.join(far, KEY).join(quantiles(x), KEY))
+    x.unpersist()
+    return out
 
 
 def temporal_detail(h: DataFrame, audit_time: datetime) -> DataFrame:
@@ -165,9 +173,9 @@ def temporal_detail(h: DataFrame, audit_time: datetime) -> DataFrame:
     for i in range(len(P.DATE_FORMATS)):
         best, most = F.when(F.col(f"f{i}") > most, i).otherwise(best), F.greatest(most, F.col(f"f{i}"))
     formats = F.filter(F.array(*[F.struct(F.lit(label).alias("format"), F.col(f"f{i}").alias("count")) for i, (label, _, _) in enumerate(P.DATE_FORMATS)]), lambda f: f["count"] > 0)
-    told = tallied.select(*KEY, "count", "ambiguous", formats.alias("formats"), best.alias("best"))
+    told = settled(tallied.select(*KEY, "count", "ambiguous", formats.alias("formats"), best.alias("best")))
     parsed = F.expr("CASE best " + " ".join(f"WHEN {i} THEN {P.parse_date('value', i)}" for i in range(len(P.DATE_FORMATS))) + " END")
-    read = dates.join(told.select(*KEY, "best"), KEY).withColumn("d", parsed).where("d IS NOT NULL")
+    read = dates.join(F.broadcast(told.select(*KEY, "best")), KEY).withColumn("d", parsed).where("d IS NOT NULL")
     ranged = read.groupBy(*KEY).agg(
         F.date_format(F.min("d"), "yyyy-MM-dd HH:mm:ss").alias("min"), F.date_format(F.max("d"), "yyyy-MM-dd HH:mm:ss").alias("max"),
         _sum(f"d > {now}").alias("future"), _sum(f"d < TIMESTAMP '{EARLIEST}' OR d > {now} + INTERVAL 100 YEARS").alias("implausible"))

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators import adhoc, checks, findings, relate, rules
+from ..operators import adhoc, checks, findings, relate, rules, score
 from ..operators import profile as prof
 from ..operators.histogram import histogram
+from ..sources import delimited
 from ..sources.tables import registered
 from .audit import audit
 
@@ -21,22 +22,32 @@ AUDIT_TIME = datetime(2024, 1, 1)
 
 # ---- the inputs: table -> columns as SQL that both engines read alike -------------------------------------------
 STATUS = "CASE WHEN {k} % 17 = 0 THEN lower({c}) WHEN {k} % 23 = 0 THEN ' ' || {c} WHEN {k} % 29 = 0 THEN 'N/A' WHEN {k} % 31 = 0 THEN NULL WHEN {k} % 37 = 0 THEN '' ELSE {c} END"
+CENTS = "CAST(CAST(round({c} * 100) AS BIGINT) AS STRING)"
+DAY = "CAST(CAST({c} AS DATE) AS STRING)"
+
+
+def plain(*names: str) -> dict[str, str]:
+    return {n: f"CAST({n} AS STRING)" for n in names}
+
+
+#: Every column of each table that has a text form both engines write alike: money in cents, rates in hundredths, moments as days.
 INPUTS = {
-    "customer": {"c_custkey": "CAST(c_custkey AS STRING)", "c_name": "c_name", "c_nationkey": "CAST(c_nationkey AS STRING)", "c_mktsegment": STATUS.format(k="c_custkey", c="c_mktsegment")},
+    "customer": {**plain("c_custkey", "c_name", "c_nationkey"), "c_acctbal": CENTS.format(c="c_acctbal"), "c_mktsegment": STATUS.format(k="c_custkey", c="c_mktsegment")},
     "orders": {"o_orderkey": "CAST(CASE WHEN o_orderkey % 400 = 7 THEN o_orderkey - 1 ELSE o_orderkey END AS STRING)",
                "o_custkey": "CASE WHEN o_orderkey % 41 = 0 THEN 'x' || CAST(o_custkey AS STRING) ELSE CAST(o_custkey AS STRING) END",
-               "o_orderstatus": "o_orderstatus", "o_orderpriority": STATUS.format(k="o_orderkey", c="o_orderpriority"),
-               "o_cents": "CASE WHEN o_orderkey % 97 = 0 THEN 'pending' WHEN o_orderkey % 101 = 0 THEN '-' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) END"},
-    "part": {"p_partkey": "CAST(p_partkey AS STRING)", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS STRING)"},
-    "nation": {"n_nationkey": "CAST(n_nationkey AS STRING)", "name": "n_name"},
+               "o_orderstatus": "o_orderstatus",
+               "o_cents": "CASE WHEN o_orderkey % 97 = 0 THEN 'pending' WHEN o_orderkey % 101 = 0 THEN '-' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) END",
+               "o_orderdate": DAY.format(c="o_orderdate"), "o_orderpriority": STATUS.format(k="o_orderkey", c="o_orderpriority")},
+    "part": {**plain("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_retailprice": CENTS.format(c="p_retailprice")},
+    "nation": {"n_nationkey": "CAST(n_nationkey AS STRING)", "name": "n_name", "n_regionkey": "CAST(n_regionkey AS STRING)"},
     "region": {"r_regionkey": "CAST(r_regionkey AS STRING)", "name": "r_name"},
-    "lineitem": {"l_orderkey": "CAST(l_orderkey AS STRING)", "l_partkey": "CAST(l_partkey AS STRING)", "l_suppkey": "CAST(l_suppkey AS STRING)", "l_linenumber": "CAST(l_linenumber AS STRING)",
-                 "l_cents": "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)", "l_units": "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"},
-    "supplier": {"s_suppkey": "CAST(s_suppkey AS STRING)", "s_name": "s_name"},
-    "events": {"event_id": "CAST(event_id AS STRING)", "user_id": "CAST(user_id AS STRING)", "event_type": "event_type", "milli": "CAST(CAST(round(value * 1000) AS BIGINT) AS STRING)"},
-    "documents": {"doc_id": "CAST(doc_id AS STRING)", "text": "text", "lang": "lang", "source": "source"},
-    "labels": {"doc_id": "CAST(doc_id AS STRING)", "quality": "CAST(quality AS STRING)", "toxic": "CAST(toxic AS STRING)"},
-    "conversations": {"conv_id": "CAST(conv_id AS STRING)", "turn": "CAST(turn AS STRING)", "role": STATUS.format(k="conv_id", c="role"), "text": "text"},
+    "lineitem": {**plain("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_units": "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "l_cents": CENTS.format(c="l_extendedprice"), "l_discount": CENTS.format(c="l_discount"),
+                 "l_tax": CENTS.format(c="l_tax"), **plain("l_returnflag", "l_linestatus"), "l_shipdate": DAY.format(c="l_shipdate")},
+    "supplier": {**plain("s_suppkey", "s_name", "s_nationkey"), "s_acctbal": CENTS.format(c="s_acctbal")},
+    "events": {"event_id": "CAST(event_id AS STRING)", "day": DAY.format(c="ts"), "user_id": "CAST(user_id AS STRING)", "event_type": "event_type", "milli": "CAST(CAST(round(value * 1000) AS BIGINT) AS STRING)", "props": "props"},
+    "documents": {**plain("doc_id", "text", "lang", "source", "n_chars")},
+    "labels": plain("doc_id", "quality", "toxic"),
+    "conversations": {**plain("conv_id", "turn"), "role": STATUS.format(k="conv_id", c="role"), "text": "text"},
 }
 
 
@@ -133,7 +144,7 @@ def profile_counts(name: str):
     return query(counts_sql(name))(run)
 
 
-for _name in ("customer", "orders", "part", "events", "documents", "conversations"):
+for _name in INPUTS:
     profile_counts(_name)
 
 
@@ -181,11 +192,14 @@ def numbers_sql(name: str, columns) -> str:
     return union(one(c) for c in columns)
 
 
-@query(numbers_sql("lineitem", ("l_cents", "l_units", "l_linenumber")) + " UNION ALL " + numbers_sql("events", ("milli",)) + " UNION ALL " + numbers_sql("orders", ("o_cents",)))
+MEASURED = ("lineitem", "events", "orders")
+
+
+@query("SELECT * FROM (" + union(numbers_sql(n, INPUTS[n]) for n in MEASURED) + ") WHERE count > 0")
 def numeric_detail(spark, sf_dir):
-    t = texts(spark, sf_dir, "lineitem", "events", "orders")
-    some = {"lineitem": t["lineitem"].select("l_cents", "l_units", "l_linenumber"), "events": t["events"].select("milli"), "orders": t["orders"].select("o_cents")}
-    got = prof.numeric_detail(histogram(some).persist())
+    h = histogram(texts(spark, sf_dir, *MEASURED)).persist()
+    got = prof.numeric_detail(h)
+    h.unpersist()
     return got.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p25", "median", "p75")], "negative", "zero", "outliers")
 
 
@@ -214,14 +228,24 @@ def date_range(spark, sf_dir):
 
 
 # ---- tables, keys and references ----------------------------------------------------------------------------------
-@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM " + source_sql("lineitem") + " GROUP BY l_returnflag, l_linestatus, l_units HAVING count(*) > 1)")
+def surplus_sql(name: str) -> str:
+    return f"SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM {source_sql(name)} GROUP BY ALL HAVING count(*) > 1)".replace("SELECT count(*) AS n", f"SELECT {', '.join(INPUTS[name])}, count(*) AS n")
+
+
+@query(surplus_sql("lineitem"))
 def duplicate_rows(spark, sf_dir):
-    return checks.duplicate_rows(texts(spark, sf_dir, "lineitem")["lineitem"].select("l_returnflag", "l_linestatus", "l_units"))
+    return checks.duplicate_rows(texts(spark, sf_dir, "lineitem")["lineitem"])
+
 
+@query(surplus_sql("conversations"))
+def duplicate_conversations(spark, sf_dir):
+    return checks.duplicate_rows(texts(spark, sf_dir, "conversations")["conversations"])
 
-@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang HAVING count(*) > 1)")
+
+@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars HAVING count(*) > 1)")
 def duplicate_documents(spark, sf_dir):
-    return checks.duplicate_rows(texts(spark, sf_dir, "documents")["documents"].select("text", "lang"))
+    """Documents that are the same in all but their id."""
+    return checks.duplicate_rows(texts(spark, sf_dir, "documents")["documents"].drop("doc_id"))
 
 
 @query('SELECT sum(n)::BIGINT AS "rows", count(*) AS distinct_keys, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS rows_in_duplicates, 0::BIGINT AS rows_missing_part, coalesce(sum(n) FILTER (n > 1), 0) = 0 AS is_key '
@@ -241,9 +265,8 @@ def orphan_sql(t: str, c: str, pt: str, p: str) -> str:
 @query(union(orphan_sql(*r) for r in REFERENCES))
 def reference_orphans(spark, sf_dir):
     t = texts(spark, sf_dir, *sorted({n for a, _, b, _ in REFERENCES for n in (a, b)}))
-    used = {n: df.select(*sorted({c for a, x, b, y in REFERENCES for m, c in ((a, x), (b, y)) if m == n})) for n, df in t.items()}
     pairs = spark.createDataFrame(REFERENCES, '`table` string, `column` string, parent_table string, parent_column string')
-    return relate.orphans(histogram(used), pairs).select("table", "column", "orphans")
+    return relate.orphans(histogram(t), pairs).select("table", "column", "orphans")
 
 
 @query(f"SELECT count(*) AS referencing_rows, {d_count('v NOT IN (SELECT trim(c_custkey) FROM ' + source_sql('customer') + ')')} AS orphans, "
@@ -256,33 +279,140 @@ def referential_integrity(spark, sf_dir):
 _KEYED = "SELECT \"table\", \"column\", \"distinct\" AS d, total - nulls - blanks AS present FROM (" + union(counts_sql(n) for n in ("orders", "customer", "part")) + ")"
 
 
-@query(f'SELECT "table", "column", round(d::DOUBLE / present, 6) AS uniqueness FROM ({_KEYED}) WHERE present > 0 AND d::DOUBLE / present >= 0.9 AND "column" <> \'o_cents\'')
+KEYED = ("orders", "customer", "part", "supplier", "events", "documents")
+IDENTIFIER = f"""regexp_matches(lower("column"), '({"|".join(relate.IDENTIFIER_ENDS)})$')"""
+KEYS_SQL = (f'SELECT "table", "column", "distinct" AS d, total - nulls - blanks AS present, kind FROM ({union(counts_sql(n) for n in KEYED)}) JOIN ({kinds_sql(*KEYED)}) USING ("table", "column") '
+            f"WHERE total >= 2 AND total - nulls - blanks > 0 AND \"distinct\"::DOUBLE / (total - nulls - blanks) >= 0.9 AND kind <> 'empty' AND (kind <> 'decimal' OR {IDENTIFIER})")
+
+
+def keys_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relate.candidate_keys(prof.settled(prof.inferred(prof.counts(histogram(texts(spark, sf_dir, *KEYED))))))
+
+
+@query(f'SELECT "table", "column", round(d::DOUBLE / present, 6) AS uniqueness FROM ({KEYS_SQL})')
 def candidate_keys(spark, sf_dir):
-    h = histogram(texts(spark, sf_dir, "orders", "customer", "part"))
-    got = relate.candidate_keys(prof.inferred(prof.counts(h))).where("column <> 'o_cents'")
-    return got.select("table", "column", F.round("uniqueness", 6).alias("uniqueness"))
+    return keys_of(spark, sf_dir).select("table", "column", F.round("uniqueness", 6).alias("uniqueness"))
 
 
-@query(f"SELECT 'key.duplicate_values' AS rule, 'orders' AS \"table\", 'o_orderkey' AS \"column\", coalesce(sum(n - 1), 0)::BIGINT AS count FROM (SELECT count(*) AS n FROM {source_sql('orders')} GROUP BY o_orderkey HAVING count(*) > 1)")
+@query(f"SELECT 'key.duplicate_values' AS rule, \"table\", \"column\", present - d AS count FROM ({KEYS_SQL}) WHERE present > d AND {IDENTIFIER}")
 def duplicate_keys(spark, sf_dir):
-    h = histogram({"orders": texts(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_orderstatus")})
-    found = relate.duplicate_keys(relate.candidate_keys(prof.inferred(prof.counts(h))))
+    return findings.verified(relate.duplicate_keys(keys_of(spark, sf_dir))).select("rule", "table", "column", "count")
+
+
+# ---- all checks of columns and tables, on spoiled columns of whole tables ---------------------------------------------
+EMPTY, NOW = "CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' WHEN o_orderkey % 3 = 1 THEN '' END", f"TIMESTAMP '{AUDIT_TIME:%Y-%m-%d %H:%M:%S}'"
+#: orders and lineitem with columns that each trip a check, the same in both engines but for the dates' rendering.
+SPOILED = {
+    "orders": {**INPUTS["orders"], "note": EMPTY, "quantity": "CASE WHEN o_orderkey % 50 = 0 THEN '-5' WHEN o_orderkey % 1000 = 1 THEN '99999999' ELSE CAST(o_custkey % 7 AS STRING) END",
+               "code_text": "CASE WHEN o_orderkey % 4 = 0 THEN 'abc' || CAST(o_custkey AS STRING) ELSE CAST(o_custkey AS STRING) END", "currency": "'usd'", "due_date": "'2031-05-06'"},
+    "lineitem": {"returned": "l_returnflag", "state": "l_linestatus", "units": INPUTS["lineitem"]["l_units"]},
+}
+_MISSING = {c: f"(NOT {d_blank(c)} OR lower(trim({c})) IN {d_list(P.TEXT_SENTINELS)})" for t in SPOILED.values() for c in t}
+_MAGIC = {c: f"(NOT {d_blank(c)} OR lower(trim({c})) IN {d_list(P.TEXT_SENTINELS + P.NUMERIC_SENTINELS)})" for t in SPOILED.values() for c in t}
+
+
+def spoiled_sql(name: str) -> str:
+    cols = ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {c}" for c, e in SPOILED[name].items())
+    more = f", {D_DATES} AS ordered_on" if name == "orders" else ""
+    return f"(SELECT {cols}{more} FROM {name})"
+
+
+def spoiled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def one(name: str) -> DataFrame:
+        more = [f"{S_DATES} AS ordered_on"] if name == "orders" else []
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*[f"{e} AS {c}" for c, e in SPOILED[name].items()], *more)
+        return df.withMetadata("currency", {"original": "Currency"}) if name == "orders" else df
+    return registered({n: one(n) for n in SPOILED} | {"nothing": spark.createDataFrame([], "a string, b string")})
+
+
+def compact_dates(now: str) -> tuple[str, str]:
+    """Conditions of amounts in cents that read as a date later than now, and beyond belief."""
+    d = f"({d_format('o_cents', 7)})"
+    return f"{d} > {now}", f"({d} < TIMESTAMP '{prof.EARLIEST}' OR {d} > {now} + INTERVAL 100 YEARS)"
+
+
+def checked_sql() -> str:
+    o, ords = spoiled_sql("orders"), [*SPOILED["orders"], "ordered_on"]
+    numbers = ("o_custkey", "o_cents", "quantity", "o_orderkey", "code_text")
+    every = [(n, c) for n, cs in (("orders", ords), ("lineitem", list(SPOILED["lineitem"]))) for c in cs]
+    missing = {**_MISSING, "ordered_on": f"NOT {d_blank('ordered_on')}"}
+    magic = {**_MAGIC, "ordered_on": f"NOT {d_blank('ordered_on')}"}
+
+    def out(rule: str, n: str, c: str | None, count: str, where: str, of: str | None = None) -> str:
+        return f"SELECT '{rule}' AS rule, '{n}' AS \"table\", {q(c) if c else 'CAST(NULL AS VARCHAR)'} AS \"column\", {count} AS count FROM {of or spoiled_sql(n)} HAVING {where}"
+
+    parts = []
+    for n, c in every:
+        total, gaps, all_gaps = "count(*)", d_count(missing[c]), d_count(magic[c])
+        parts += [out("column.empty", n, c, total, f"count(*) > 0 AND {all_gaps} = count(*)"),
+                  out("column.missing_values", n, c, gaps, f"{all_gaps} >= 0.05 * count(*) AND {all_gaps} < count(*)"),
+                  out("column.whitespace_padding", n, c, d_count(f"{c} <> trim({c})"), f"{d_count(f'{c} <> trim({c})')} > 0"),
+                  out("column.constant", n, c, total, f"count(DISTINCT {c}) = 1 AND count(*) >= 5 AND {all_gaps} < count(*)"),
+                  f"SELECT 'column.case_variants', '{n}', '{c}', count(*) FILTER (d > 1) FROM (SELECT lower(trim({c})) AS k, count(DISTINCT {c}) AS d, count(*) AS r FROM {spoiled_sql(n)} WHERE {d_blank(c)} GROUP BY 1) "
+                  f"HAVING count(*) FILTER (d > 1) > 0 AND count(*) <= 100 AND count(*) <= 0.5 * (SELECT count(*) - {all_gaps} FROM {spoiled_sql(n)})"]
+    for c in numbers:
+        x = f"(SELECT ({d_number(c)}) AS x FROM {o} WHERE {d_blank(c)})"
+        parts.append(f"SELECT 'column.numeric_outliers', 'orders', '{c}', {d_count('abs(x - m) > 6 * s')} FROM (SELECT x, avg(x) OVER () AS m, stddev_samp(x) OVER () AS s FROM {x} WHERE x IS NOT NULL) HAVING {d_count('abs(x - m) > 6 * s')} > 0")
+    bad_int, bad_date = f"{d_blank('o_cents')} AND NOT ({d_kind('o_cents', 'integer')})", f"NOT ({d_kind('ordered_on', 'date')})"
+    iso = f"({d_format('ordered_on', 0)}) IS NOT NULL"
+    parts += [out("column.type_violation", "orders", "o_cents", d_count(bad_int), "count(*) > 0"), out("column.type_violation", "orders", "o_custkey", d_count(f"NOT ({d_kind('o_custkey', 'integer')})"), "count(*) > 0"),
+              out("column.type_violation", "orders", "ordered_on", d_count(bad_date), f"{d_count(bad_date)} > 0"),
+              out("column.mostly_typed", "orders", "code_text", d_count(f"NOT ({d_kind('code_text', 'integer')})"), "count(*) > 0"),
+              out("column.mixed_date_formats", "orders", "ordered_on", d_count(f"NOT {iso} AND {d_kind('ordered_on', 'date')}"), "count(*) > 0"),
+              out("column.ambiguous_dates", "orders", "ordered_on", d_count(f"({d_format('ordered_on', 1)}) <> ({d_format('ordered_on', 2)})"), "count(*) > 0"),
+              out("column.unexpected_negative", "orders", "quantity", d_count(f"({d_number('quantity')}) < 0"), "count(*) > 0"),
+              # eight digits read as a compact date, too
+              *(out(rule, "orders", "o_cents", d_count(w), f"{d_count(w)} > 0") for rule, w in (("column.future_dates", compact_dates(NOW)[0]), ("column.implausible_dates", compact_dates(NOW)[1]))),
+              "SELECT 'column.duplicate_header', 'orders', 'currency', 1", "SELECT 'table.empty', 'nothing', CAST(NULL AS VARCHAR), 0",
+              "SELECT 'table.no_candidate_key', 'lineitem', CAST(NULL AS VARCHAR), 0", "SELECT 'table.no_candidate_key', 'orders', CAST(NULL AS VARCHAR), 0",
+              f"SELECT 'table.duplicate_rows', 'lineitem', CAST(NULL AS VARCHAR), coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM {spoiled_sql('lineitem')} GROUP BY returned, state, units HAVING count(*) > 1) HAVING coalesce(sum(n - 1), 0) > 0"]
+    return union(parts)
+
+
+@query(checked_sql())
+def all_checks(spark, sf_dir):
+    """Findings of all column and table checks that run without files, on spoiled columns of whole tables, each verified by its evidence."""
+    t = spoiled(spark, sf_dir)
+    p = prof.settled(prof.profile(t, AUDIT_TIME))
+    found = checks.column_checks(p, AUDIT_TIME).unionByName(checks.table_checks(spark, t, p))
+    return findings.verified(findings.deduplicated(found)).select("rule", "table", "column", "count")
+
+
+PAST = datetime(1996, 1, 1)
+_PAST = "TIMESTAMP '1996-01-01 00:00:00'"
+
+
+@query(f"SELECT 'column.future_dates' AS rule, '{{}}' AS \"table\", 'o_orderdate' AS \"column\", count(*) AS count FROM orders WHERE CAST(o_orderdate AS DATE) > {_PAST}".replace("{}", "orders")
+       + f" UNION ALL SELECT 'column.future_dates', 'lineitem', 'l_shipdate', count(*) FROM lineitem WHERE CAST(l_shipdate AS DATE) > {_PAST}"
+       + f" UNION ALL SELECT 'column.future_dates', 'orders', 'o_cents', count(*) FROM {source_sql('orders')} WHERE {compact_dates(_PAST)[0]} HAVING count(*) > 0")
+def dates_in_the_future(spark, sf_dir):
+    """Dates later than an audit that is set in 1996."""
+    t = texts(spark, sf_dir, "orders", "lineitem")
+    found = checks.column_checks(prof.settled(prof.profile(t, PAST)), PAST).where("rule = 'column.future_dates'")
     return findings.verified(found).select("rule", "table", "column", "count")
 
 
-@query(f"SELECT count(*) AS value_count FROM (SELECT DISTINCT lower(trim(role)) FROM {source_sql('conversations')} WHERE {d_blank('role')} EXCEPT SELECT DISTINCT lower(trim(role)) FROM (SELECT 'user' AS role UNION ALL SELECT 'N/A'))")
-def shared_domain(spark, sf_dir):
-    t = texts(spark, sf_dir, "conversations")
-    two = {"conversations": t["conversations"].select("role"), "a_roles": spark.createDataFrame([("user",)] * 30 + [("N/A",)] * 2, "role string")}
-    h = histogram(two)
-    got = relate.shared_domains(h, prof.inferred(prof.counts(h)).withColumn("populated", F.col("non_blank") - F.col("sentinel_hits")))
-    return got.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("value_count"))
+FAR = datetime(1890, 1, 1)
 
 
-@query(f"SELECT count(*) AS spellings FROM (SELECT 1 FROM {source_sql('customer')} WHERE {d_blank('c_mktsegment')} GROUP BY lower(trim(c_mktsegment)) HAVING count(DISTINCT c_mktsegment) > 1)")
-def case_variants(spark, sf_dir):
+@query("SELECT 'column.implausible_dates' AS rule, 'orders' AS \"table\", 'o_orderdate' AS \"column\", count(*) AS count FROM orders WHERE CAST(o_orderdate AS DATE) > TIMESTAMP '1990-01-01'"
+       + f" UNION ALL SELECT 'column.implausible_dates', 'orders', 'o_cents', count(*) FROM {source_sql('orders')} WHERE {compact_dates(chr(39).join(('TIMESTAMP ', '1890-01-01 00:00:00', '')))[1]} HAVING count(*) > 0")
+def implausible_dates(spark, sf_dir):
+    """Dates more than a century after an audit that is set in 1890."""
+    t = texts(spark, sf_dir, "orders")
+    found = checks.column_checks(prof.settled(prof.profile(t, FAR)), FAR).where("rule = 'column.implausible_dates'")
+    return findings.verified(found).select("rule", "table", "column", "count")
+
+
+@query(f"SELECT 'domain.inconsistent_values' AS rule, 'nation' AS \"table\", 'name' AS \"column\", count(*) AS count FROM (SELECT DISTINCT lower(trim(n_name)) FROM nation EXCEPT SELECT DISTINCT lower(trim(c_mktsegment)) FROM {source_sql('customer')} WHERE {d_blank('c_mktsegment')}) HAVING count(*) > 0")
+def shared_domain(spark, sf_dir):
+    """Two tables with a category of one name: customers' segments and nations, each repeated over the customers."""
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("nation_rows")
     t = texts(spark, sf_dir, "customer")["customer"]
-    return t.where(P.non_blank("c_mktsegment")).groupBy(F.expr(P.normalized("c_mktsegment"))).agg(F.countDistinct("c_mktsegment").alias("n")).where("n > 1").agg(F.count("*").alias("spellings"))
+    both = registered({"customer": t.select(F.col("c_mktsegment").alias("name")), "nation": t.join(spark.table("nation_rows"), F.col("c_nationkey") == F.col("n_nationkey").cast("string"), "right").select(F.col("n_name").alias("name"))})
+    h = histogram(both).persist()
+    p = prof.inferred(prof.counts(h)).withColumn("populated", F.col("non_blank") - F.col("sentinel_hits"))
+    return findings.verified(relate.shared_domains(h, prof.settled(p))).select("rule", "table", "column", "count")
 
 
 # ---- rules ----------------------------------------------------------------------------------------------------------
@@ -349,7 +479,7 @@ def sample_values(spark, sf_dir):
     return adhoc.sample_values(texts(spark, sf_dir, "orders")["orders"], "o_orderpriority").select("value", "count", F.round("share", 6).alias("share"))
 
 
-@query(f"SELECT o_orderstatus, n FROM (SELECT {d_shape('o_orderstatus')} AS k, '⟨' || {d_shape('o_orderstatus')} || '⟩' AS o_orderstatus, count(*) AS n FROM {source_sql('orders')} GROUP BY orders_status, 1, 2)".replace("GROUP BY orders_status, 1, 2", "GROUP BY o_orderstatus"))
+@query(f"SELECT '⟨' || {d_shape('s.o_orderstatus')} || '⟩' AS o_orderstatus, count(*) AS n FROM {source_sql('orders')} AS s GROUP BY s.o_orderstatus")
 def run_sql(spark, sf_dir):
     texts(spark, sf_dir, "orders")
     return adhoc.run_sql(spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", statistics=("n",))[0]
@@ -376,11 +506,11 @@ def audit_findings(spark, sf_dir):
     f"SELECT 'column.case_variants', 'customer', 'c_mktsegment', count(*) FROM (SELECT 1 FROM {source_sql('customer')} WHERE {d_blank('c_mktsegment')} GROUP BY lower(trim(c_mktsegment)) HAVING count(DISTINCT c_mktsegment) > 1)",
     f"SELECT 'column.case_variants', 'orders', 'o_orderpriority', count(*) FROM (SELECT 1 FROM {source_sql('orders')} WHERE {d_blank('o_orderpriority')} GROUP BY lower(trim(o_orderpriority)) HAVING count(DISTINCT o_orderpriority) > 1)",
     f"SELECT 'column.type_violation', 'orders', 'o_cents', {d_count(_BAD_CENTS)} FROM {source_sql('orders')}",
+    f"SELECT 'column.type_violation', 'orders', 'o_custkey', {d_count('NOT (' + d_kind('o_custkey', 'integer') + ')')} FROM {source_sql('orders')}",
 ]))
 def check_findings(spark, sf_dir):
     t = texts(spark, sf_dir, "orders", "customer")
-    some = {"orders": t["orders"].select("o_orderpriority", "o_cents"), "customer": t["customer"].select("c_mktsegment")}
-    found = findings.verified(checks.column_checks(prof.settled(prof.profile(some, AUDIT_TIME)), AUDIT_TIME))
+    found = findings.verified(checks.column_checks(prof.settled(prof.profile(t, AUDIT_TIME)), AUDIT_TIME))
     return found.where(F.col("rule").isin("column.whitespace_padding", "column.case_variants", "column.type_violation")).select("rule", "table", "column", "count")
 
 
@@ -390,9 +520,175 @@ def severity_counts(spark, sf_dir):
     return findings.severity_counts(findings.deduplicated(found.unionByName(found)))
 
 
-@query(f"SELECT 'claim.pending_orders' AS rule, (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending') AS measured, false AS accepted UNION ALL SELECT 'claim.none', 0, false UNION ALL SELECT 'claim.broken', NULL, false")
+@query(f"SELECT 'claim.pending_orders' AS rule, (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending') AS measured, false AS accepted UNION ALL SELECT 'claim.right', (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending'), true UNION ALL SELECT 'claim.none', 0, false UNION ALL SELECT 'claim.broken', NULL, false")
 def claims(spark, sf_dir):
     texts(spark, sf_dir, "orders")
-    said = [("Pending orders!", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", -1), ("none", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'nothing'", 0),
+    pending = spark.table("orders").where("o_cents = 'pending'").count()
+    said = [("Right", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", pending), ("Pending orders!", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", -1), ("none", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'nothing'", 0),
             ("broken", "orders", "o_cents", "SELECT count(*) FROM orders WHERE no_such_column = 1", 3)]
     return adhoc.verify_claims(spark.createDataFrame(said, "claim string, `table` string, `column` string, count_query string, claimed long")).select("rule", "measured", "accepted")
+
+
+# ---- rules about rules, E8 and E13-E21 ------------------------------------------------------------------------------
+META_RULES = rules.parse([
+    {"id": "no_future", "table": "orders", "column": "o_orderdate", "expect": "not_future"},
+    {"id": "nowhere", "table": "absent*", "column": "x", "expect": "unique"},
+    {"id": "cannot_run", "table": "orders", "expect": "sql", "where": "no_such_column > 1"},
+    {"id": "orphan_parent", "table": "orders", "column": "o_custkey", "expect": "references", "references": "gone.id"},
+])
+
+
+@query(f"SELECT 'no_future' AS rule, 'orders' AS \"table\", 'o_orderdate' AS \"column\", count(*) AS count, (SELECT count(*) FROM orders) AS total FROM orders WHERE CAST(o_orderdate AS DATE) > {_PAST} "
+       "UNION ALL SELECT 'rule.never_applied', NULL, NULL, 0, 0 UNION ALL SELECT 'rule.invalid', 'orders', NULL, 0, 0 UNION ALL SELECT 'rule.invalid', 'orders', 'o_custkey', 0, 0")
+def rules_about_rules(spark, sf_dir):
+    """A rule about the future, and rules that match nothing or cannot run."""
+    return rules.evaluate(spark, texts(spark, sf_dir, "orders"), META_RULES, PAST).select("rule", "table", "column", "count", "total")
+
+
+@query(f"SELECT 'same' AS proposal, false AS accepted, CAST(NULL AS BIGINT) AS violations UNION ALL SELECT 'right', true, count(*) FROM {source_sql('orders')} WHERE NOT {d_blank('o_orderpriority')} "
+       f"UNION ALL SELECT 'wrong', false, count(*) FROM {source_sql('orders')} WHERE NOT {d_blank('o_orderpriority')} UNION ALL SELECT 'vocabulary', true, 0 UNION ALL SELECT 'wide', false, NULL UNION ALL SELECT 'nowhere', false, NULL")
+def rule_proposals(spark, sf_dir):
+    """Proposed rules: one already in force, one that breaks as often as claimed, one that does not, vocabularies, and one that applies nowhere."""
+    t = texts(spark, sf_dir, "orders")
+    claimed = t["orders"].where(f"NOT {P.non_blank('o_orderpriority')}").count()
+    given = rules.Rule("given", "orders", "not_null", "o_orderpriority")
+    said = [("same", given, 0, [given]), ("right", given, claimed, []), ("wrong", given, claimed + 1, []), ("vocabulary", rules.Rule("v", "orders", "one_of", "o_orderpriority", values_from="current"), 0, []),
+            ("wide", rules.Rule("w", "orders", "one_of", "o_orderkey", values_from="current"), 0, []), ("nowhere", rules.Rule("n", "absent", "not_null", "x"), 0, [])]
+    told = [(name, out["accepted"], out["violations"]) for name, rule, n, force in said for out in [rules.propose(spark, t, rule, n, force, AUDIT_TIME)]]
+    return spark.createDataFrame(told, "proposal string, accepted boolean, violations long")
+
+
+# ---- findings: export, order, gate, history, offending rows ---------------------------------------------------------
+_ID = "left(sha256(concat_ws(chr(0), rule, \"table\", coalesce(\"column\", ''))), 16)"
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.evaluate(spark, texts(spark, sf_dir, "orders", "customer"), RULES, AUDIT_TIME)
+
+
+@query(f"SELECT {_ID} AS id, rule, CASE WHEN rule = 'cents_positive' THEN 'warning' ELSE 'error' END AS severity, CASE WHEN rule = 'cents_positive' THEN 'warning' ELSE 'error' END AS level, count, total, round(count::DOUBLE / total, 6) AS share FROM ({ORACLE_SQL['rule_violations']})")
+def findings_export(spark, sf_dir):
+    return findings.export(violations(spark, sf_dir)).select("id", "rule", "severity", "level", "count", "total", "share")
+
+
+@query(f"SELECT rank, rule FROM (SELECT row_number() OVER (ORDER BY CASE WHEN rule = 'cents_positive' THEN 1 ELSE 2 END DESC, \"table\", \"column\" NULLS FIRST, rule) AS rank, rule FROM ({ORACLE_SQL['rule_violations']}))")
+def findings_in_order(spark, sf_dir):
+    names = [r["rule"] for r in findings.ordered(violations(spark, sf_dir)).select("rule").collect()]
+    return spark.createDataFrame(list(enumerate(names, 1)), "rank long, rule string")
+
+
+@query(f"SELECT run_id, findings, error, warning, info FROM (SELECT count(*) AS findings, count(*) FILTER (rule <> 'cents_positive') AS error, count(*) FILTER (rule = 'cents_positive') AS warning, 0::BIGINT AS info FROM ({ORACLE_SQL['rule_violations']})), (VALUES ('first'), ('second')) t(run_id)")
+def run_history(spark, sf_dir):
+    """Two runs kept, one of them written twice, and read again."""
+    path = fresh_folder(spark)
+    found = prof.settled(violations(spark, sf_dir))
+    for run in ("first", "second", "first"):
+        findings.write_history(found, path, run)
+    return findings.runs(findings.read_history(spark, path)).select("run_id", "findings", "error", "warning", "info")
+
+
+@query(f"SELECT o_orderkey, o_cents FROM {source_sql('orders')} WHERE {d_blank('o_cents')} AND coalesce({d_number('o_cents')}, 0) < 0 QUALIFY count(*) OVER () <= 1000")
+def offending_rows(spark, sf_dir):
+    """The rows behind a finding (none are shown here if there are more than a thousand)."""
+    row = violations(spark, sf_dir).where("rule = 'cents_not_negative'").first()
+    rows, cut = findings.offending_rows(spark, row["row_query"].replace(" LIMIT 100", ""), 1000)
+    return rows.select("o_orderkey", "o_cents").where(F.lit(not cut))
+
+
+@query(f"SELECT min_severity, EXISTS (SELECT 1 FROM ({ORACLE_SQL['rule_violations']}) WHERE (min_severity = 2 AND rule <> 'cents_positive') OR min_severity < 2) AS reached FROM (VALUES (0), (1), (2), (3)) t(min_severity) WHERE min_severity < 3 UNION ALL SELECT 3, false")
+def severity_gate(spark, sf_dir):
+    found = prof.settled(violations(spark, sf_dir))
+    return spark.createDataFrame([(n, findings.reaches(found, n)) for n in range(4)], "min_severity int, reached boolean")
+
+
+# ---- scoring against a manifest -----------------------------------------------------------------------------------------
+_SCORED = ORACLE_SQL["rule_violations"]
+
+
+@query(f"SELECT outcome, rule, \"table\", coalesce(\"column\", '') AS \"column\" FROM (SELECT CASE WHEN rule LIKE 'cents%' THEN 'found' END AS outcome, rule, \"table\", \"column\" FROM ({_SCORED})) WHERE outcome IS NOT NULL UNION ALL SELECT 'missed', 'column.empty', 'orders', 'o_cents' "
+       f"UNION ALL SELECT 'converted', NULL, 'orders', 'o_orderstatus' FROM ({_SCORED}) WHERE rule = 'status_known' UNION ALL SELECT 'uncovered', NULL, 'orders', 'o_orderkey' UNION ALL SELECT 'false positive', rule, \"table\", \"column\" FROM ({_SCORED}) WHERE rule = 'priority_given'")
+def scored_checks(spark, sf_dir):
+    """Findings of the rules, held against a manifest of defects and clean places."""
+    found = prof.settled(violations(spark, sf_dir))
+    n = found.where("rule = 'status_known'").first()["count"]
+    known = [(r["rule"], r["table"], r["column"], []) for r in found.where("rule LIKE 'cents%'").collect()]
+    defects = spark.createDataFrame([*known, ("column.empty", "orders", "o_cents", []), (None, "orders", "o_orderstatus", [n]), (None, "orders", "o_orderkey", [-1])], "rule string, `table` string, `column` string, counts array<long>")
+    return score.score_checks(found, defects, spark.createDataFrame([("orders", "o_orderpriority")], "`table` string, `column` string"))
+
+
+@query(f"SELECT 'stale' AS id, count(*) AS measured FROM {source_sql('orders')} WHERE o_cents = 'pending'")
+def invalid_targets(spark, sf_dir):
+    """Targets of a manifest whose own query no longer gives their count."""
+    texts(spark, sf_dir, "orders")
+    pending = "SELECT count(*) FROM orders WHERE o_cents = 'pending'"
+    n = spark.sql(pending).first()[0]
+    return score.invalid_targets(spark.createDataFrame([("right", pending, [n]), ("stale", pending, [n + 1])], "id string, count_query string, counts array<long>"))
+
+
+# ---- delimited files: given tables written out and read again --------------------------------------------------------
+def fresh_folder(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/audit-{uuid.uuid4().hex}"
+
+
+def exported(spark: SparkSession, sf_dir: str) -> dict:
+    """orders as .csv with a row in a hundred cut short, conversations (whose texts may span lines) as .tsv, customers without a header as .psv."""
+    t, path = texts(spark, sf_dir, "orders", "conversations", "customer"), fresh_folder(spark)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    short = F.when(F.col("o_custkey").rlike("7$"), F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(line)
+    body = t["orders"].select(short.alias("value"))
+    spark.createDataFrame([("o_orderkey,o_custkey,o_orderstatus,o_orderdate",)], "value string").unionByName(body).coalesce(1).write.text(f"{path}/orders.csv")
+    t["conversations"].select("conv_id", "turn", F.concat(F.lit("first\nthen "), F.col("turn")).alias("note")).coalesce(1).write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(f"{path}/talk.tsv")
+    t["customer"].select("c_custkey", "c_nationkey", "c_acctbal").coalesce(1).write.option("sep", "|").csv(f"{path}/people.psv")
+    return named_parts(spark, path)
+
+
+def named_parts(spark: SparkSession, path: str) -> dict:
+    """Spark writes folders: each folder's only part takes the folder's name in another folder, which is read."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs.mkdirs(at(f"{path}/read"))
+    for name in ("orders.csv", "talk.tsv", "people.psv"):
+        part = next(f.getPath() for f in fs.listStatus(at(f"{path}/{name}")) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, at(f"{path}/read/{name}"))
+    return delimited.read_folder(spark, f"{path}/read")
+
+
+_SHORT = "regexp_matches(o_custkey, '7$')"
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM {source_sql('orders')} WHERE NOT {_SHORT}")
+def delimited_rows(spark, sf_dir):
+    """Rows of a comma-separated file that fit its header."""
+    return exported(spark, sf_dir)["tables"]["orders_csv"]
+
+
+@query(f"SELECT 'orders_csv' AS \"table\", 'MISSING COLUMNS' AS error_type, o_orderkey || ',' || o_custkey AS raw FROM {source_sql('orders')} WHERE {_SHORT}")
+def delimited_rejects(spark, sf_dir):
+    """Rows that do not fit, put aside."""
+    return exported(spark, sf_dir)["rejects"].select("table", "error_type", "raw")
+
+
+@query(f"SELECT conv_id, turn, 'first' || chr(10) || 'then ' || turn AS note FROM {source_sql('conversations')}")
+def delimited_spanning_values(spark, sf_dir):
+    """Tab-separated rows with a quoted value over two lines."""
+    return exported(spark, sf_dir)["tables"]["talk_tsv"]
+
+
+@query(f"SELECT c_custkey AS column_1, c_nationkey AS column_2, c_acctbal AS column_3 FROM {source_sql('customer')}")
+def delimited_without_header(spark, sf_dir):
+    return exported(spark, sf_dir)["tables"]["people_psv"]
+
+
+@query("SELECT * FROM (VALUES ('orders.csv', 'csv', true), ('people.psv', 'csv', true), ('talk.tsv', 'csv', true)) t(rel, kind, read)")
+def discovered_files(spark, sf_dir):
+    return exported(spark, sf_dir)["files"].select("rel", "kind", F.col("skip_reason").isNull().alias("read"))
+
+
+@query("SELECT 'people_psv' AS \"table\", 'csv.no_header' AS code")
+def file_notes(spark, sf_dir):
+    """What the readers noted about the headers of the three files."""
+    return exported(spark, sf_dir)["notes"].where("code LIKE 'csv.%header%'").select("table", "code")

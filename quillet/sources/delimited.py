@@ -24,6 +24,8 @@ SKIPPED_FOLDERS = ("node_modules", "vendor", "__pycache__")
 DELIMITERS = (",", ";", "\t", "|")
 HINTS = {"tsv": "\t", "tab": "\t", "psv": "|"}
 HEAD_BYTES, HEAD_LINES = 256 * 1024, 200
+#: Files up to this size are read whole by a task to look at their head; of larger ones the driver fetches the head.
+WHOLE_BYTES = 8 << 20
 BAD = "_bad_row"
 
 
@@ -164,6 +166,17 @@ def _look(batches):
         yield pd.DataFrame(out, columns=["path", "encoding", "delimiter", "header", "names", "notes"])
 
 
+def head_of(spark: SparkSession, path: str) -> bytes:
+    """The first HEAD_BYTES of a large file, without reading the rest."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)))
+    finally:
+        stream.close()
+
+
 def dialects(files: DataFrame) -> DataFrame:
     """(path, encoding, delimiter, header, names, notes) of the delimited files that are not skipped, one task row per file."""
     spark = files.sparkSession
@@ -171,15 +184,31 @@ def dialects(files: DataFrame) -> DataFrame:
     schema = "path string, encoding string, delimiter string, header boolean, names array<string>, notes array<struct<code:string,message:string>>"
     if not paths:
         return spark.createDataFrame([], schema)
-    heads = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, HEAD_BYTES).alias("content"))
+    large = [r["path"] for r in files.where(f"kind = 'csv' AND skip_reason IS NULL AND size > {WHOLE_BYTES}").select("path").collect()]
+    heads = spark.createDataFrame([(p, bytearray(head_of(spark, p))) for p in large], "path string, content binary")
+    if small := sorted(set(paths) - set(large)):
+        heads = heads.unionByName(spark.read.format("binaryFile").load(small).select("path", F.substring("content", 1, HEAD_BYTES).alias("content")))
     return heads.mapInPandas(_look, schema)
 
 
-def load(spark: SparkSession, path: str, dialect) -> tuple[DataFrame, DataFrame]:
-    """(table, rejects) of one file: all columns text, and (line, error_type, raw) of the rows that do not fit."""
+def with_spanning_values(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of the files in which a quoted value spans lines: some line holds an odd number of quotes. One pass, a row per file."""
+    if not paths:
+        return set()
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), (F.regexp_count("value", F.lit('"')) % 2).alias("odd"))
+    return {r["path"] for r in lines.where("odd = 1").select("path").distinct().collect()}
+
+
+def load(spark: SparkSession, path: str, dialect, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(table, rejects) of one file: all columns text, and (error_type, raw) of the rows that do not fit.
+
+    multi_line: quoted values may span lines. Such a file is read by one task, as nobody can tell where a record
+    begins in the middle of it; any other file is split.
+    """
     named = column_names(list(dialect["names"]))
     schema = T.StructType([*(T.StructField(n, T.StringType(), True, {"original": o} if dialect["header"] else {}) for n, o in named), T.StructField(BAD, T.StringType())])
     reader = spark.read.schema(schema).option("sep", dialect["delimiter"]).option("encoding", dialect["encoding"]).option("header", str(dialect["header"]).lower())
+    reader = reader.option("multiLine", str(multi_line).lower())
     rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("quote", '"').option("escape", '"').option("enforceSchema", "true").option("columnPruning", "false").csv(path)
     quoted = '"(?:[^"]|"")*"'
     fields = F.size(F.split(F.regexp_replace(F.col(BAD), quoted, "q"), re.escape(dialect["delimiter"])))
@@ -193,10 +222,13 @@ def load(spark: SparkSession, path: str, dialect) -> tuple[DataFrame, DataFrame]
 
 
 def numbered_rejects(spark: SparkSession, path: str, rejects: DataFrame, encoding: str = "UTF-8") -> DataFrame:
-    """rejects with line numbers, by ranking the file's lines; values that span lines shift the numbers after them."""
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("place"))
-    ranked = lines.withColumn("line", F.row_number().over(Window.orderBy("place")).cast("long"))  # one file: its lines have one order
-    return ranked.join(rejects.withColumnRenamed("raw", "value"), "value", "left_semi").join(rejects.dropDuplicates(["raw"]), F.col("value") == F.col("raw")).select("line", "error_type", "raw")
+    """rejects with the number of the line they begin on: its place in its part of the file, after the lines of the parts before."""
+    place = F.monotonically_increasing_id()
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per part of the file
+    parts = lines.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    first = rejects.dropDuplicates(["raw"]).withColumn("value", F.element_at(F.split("raw", "\r?\n", 2), 1))
+    return lines.join(first, "value").join(F.broadcast(parts), "part").select((F.col("before") + F.col("at") + 1).alias("line"), "error_type", "raw")
 
 
 def reject_samples(rejects: DataFrame, k: int = 20) -> DataFrame:
@@ -217,18 +249,24 @@ def read_folder(spark: SparkSession, path: str) -> dict:
     files = discover(spark, path).persist()
     told = dialects(files).collect()  # a row per file
     rels = {r["path"]: r["rel"] for r in files.where("skip_reason IS NULL").collect()}
-    names = table_names([rels[d["path"]] for d in told])
+    sheets, book_notes = read_workbooks(spark, files)
+    # files and sheets share one space of names, so that none takes another's place
+    names = table_names(list(dict.fromkeys([*(rels[d["path"]] for d in told), *sheets, *(place for place, _, _ in book_notes)])))
     tables, notes, rejects = {}, [], None
+    spanning = with_spanning_values(spark, [d["path"] for d in told])
     for d in told:
         name = names[rels[d["path"]]]
-        tables[name], bad = load(spark, d["path"], d)
+        tables[name], bad = load(spark, d["path"], d, _plain(d["path"]) in {_plain(p) for p in spanning})
         notes += [(name, n["code"], n["message"]) for n in d["notes"]]
         bad = numbered_rejects(spark, d["path"], bad, d["encoding"]).select(F.lit(name).alias("table"), "line", "error_type", "raw")
         rejects = bad if rejects is None else rejects.unionByName(bad)
-    books, more = read_workbooks(spark, files)
-    tables |= books
-    notes += more
+    tables |= {names[place]: df for place, df in sheets.items()}
+    notes += [(names[place], code, message) for place, code, message in book_notes]
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     empty = spark.createDataFrame([], "table string, line long, error_type string, raw string")
     return {"tables": tables, "files": files, "notes": spark.createDataFrame(notes, "table string, code string, message string"), "rejects": empty if rejects is None else rejects}
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", unquote(path))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .delimited import column_names, safe_name
+from .delimited import column_names
 
 HEADER_ROWS = 100
 # The error texts of spreadsheet formulas.
@@ -22,6 +24,10 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 CELLS = "path string, sheet string, sheet_no int, sheet_hidden boolean, row int, col int, value string, row_hidden boolean, merged boolean"
 
 
+#: What a damaged workbook or sheet makes the readers say.
+BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, ElementTree.ParseError, KeyError, IndexError, ValueError, AttributeError, TypeError, EOFError, NotImplementedError, RuntimeError)
+
+
 def _column(ref: str) -> int:
     n = 0
     for ch in re.match(r"[A-Z]+", ref)[0]:
@@ -29,8 +35,44 @@ def _column(ref: str) -> int:
     return n
 
 
-def _text(cell, strings: list[str]) -> str | None:
+# Numbers of the built-in formats that show dates, times, or both.
+DATE_STYLES, TIME_STYLES = (14, 15, 16, 17, 22), (18, 19, 20, 21, 45, 46, 47)
+
+
+def date_styles(styles: bytes | None) -> list[str]:
+    """For each cell style: "date", "time" or "" by the number format it uses."""
+    if styles is None:
+        return []
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_NS}numFmt")}
+
+    def kind(number: int) -> str:
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", own.get(number, "")).lower()
+        if number in DATE_STYLES or re.search("[yd]", code):
+            return "date"
+        return "time" if number in TIME_STYLES or re.search("[hs]", code) else ""
+
+    formats = root.find(f"{_NS}cellXfs")
+    return [kind(int(x.get("numFmtId", "0"))) for x in formats] if formats is not None else []
+
+
+def date_text(serial: str, kind: str, from_1904: bool) -> str:
+    """A day number as it is meant: YYYY-MM-DD, with the time where there is one; a time alone as HH:MM:SS."""
+    try:
+        days = float(serial)
+        moment = (datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)) + timedelta(seconds=round(days * 86400))
+    except (ValueError, OverflowError):
+        return serial
+    if kind == "time" and days < 1:
+        return f"{moment:%H:%M:%S}"
+    return f"{moment:%Y-%m-%d}" if days == int(days) else f"{moment:%Y-%m-%d %H:%M:%S}"
+
+
+def _text(cell, strings: list[str], styles: list[str], from_1904: bool) -> str | None:
     kind, v = cell.get("t", "n"), cell.find(f"{_NS}v")
+    style = int(cell.get("s", "0"))
+    if kind == "n" and v is not None and v.text and style < len(styles) and styles[style]:
+        return date_text(v.text, styles[style], from_1904)
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
     if v is None or v.text is None:
@@ -47,26 +89,43 @@ def workbook_cells(path: str, content: bytes):
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_NS}si")]
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for no, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet")):
-            target = rels[sheet.get(_REL)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            merged = []
-            for m in root.iter(f"{_NS}mergeCell"):
-                a, _, b = m.get("ref").partition(":")
-                merged.append((_column(a), int(re.sub(r"\D", "", a)), _column(b or a), int(re.sub(r"\D", "", b or a))))
-            for row in root.iter(f"{_NS}row"):
-                for cell in row.findall(f"{_NS}c"):
-                    value, ref = _text(cell, strings), cell.get("r")
-                    r, c = int(re.sub(r"\D", "", ref)), _column(ref)
-                    if value is not None and value != "":
-                        yield (path, sheet.get("name"), no, sheet.get("state", "visible") != "visible", r, c, value, row.get("hidden") == "1", any(x1 <= c <= x2 and y1 <= r <= y2 for x1, y1, x2, y2 in merged))
+        styles = date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in z.namelist() else None)
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        from_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_NS}workbookPr"))
+        for no, sheet in enumerate(book.iter(f"{_NS}sheet")):
+            try:
+                own = list(_sheet_cells(z, rels, sheet, strings, styles, from_1904))
+            except BROKEN as e:
+                yield (path, sheet.get("name"), no, False, 0, 0, str(e) or type(e).__name__, False, False)
+                continue
+            yield from ((path, sheet.get("name"), no, sheet.get("state", "visible") != "visible", *x) for x in own)
+
+
+def _sheet_cells(z, rels, sheet, strings, styles, from_1904):
+    """(row, col, value, row_hidden, merged) of one sheet's cells."""
+    target = rels[sheet.get(_REL)].lstrip("/")
+    root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
+    merged = []
+    for m in root.iter(f"{_NS}mergeCell"):
+        a, _, b = m.get("ref").partition(":")
+        merged.append((_column(a), int(re.sub(r"\D", "", a)), _column(b or a), int(re.sub(r"\D", "", b or a))))
+    for row in root.iter(f"{_NS}row"):
+        for cell in row.findall(f"{_NS}c"):
+            value, ref = _text(cell, strings, styles, from_1904), cell.get("r")
+            r, c = int(re.sub(r"\D", "", ref)), _column(ref)
+            if value is not None and value != "":
+                yield (r, c, value, row.get("hidden") == "1", any(x1 <= c <= x2 and y1 <= r <= y2 for x1, y1, x2, y2 in merged))
 
 
 def _decode(batches):
     names = [c.split()[0] for c in CELLS.split(", ")]
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
-            yield pd.DataFrame(list(workbook_cells(path, bytes(content))), columns=names)
+            try:
+                rows = list(workbook_cells(path, bytes(content)))
+            except BROKEN as e:
+                rows = [(path, None, -1, False, 0, 0, str(e) or type(e).__name__, False, False)]
+            yield pd.DataFrame(rows, columns=names).astype({"sheet_no": "int32", "row": "int32", "col": "int32"})
 
 
 def cells(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -126,12 +185,17 @@ def sheet_table(cells: DataFrame, path: str, sheet: str, header: int, width: int
 
 
 def read_workbooks(spark: SparkSession, files: DataFrame) -> tuple[dict[str, DataFrame], list[tuple[str, str, str]]]:
-    """(tables by name, notes) of the workbooks among discovered files: one table per sheet, named file_sheet."""
+    """(tables, notes) of the workbooks among discovered files, both by place: the file's path and the sheet, "dir/book.xlsx_Sheet".
+
+    A workbook or sheet that cannot be read gets a note; the others are read.
+    """
     books = {r["path"]: r["rel"] for r in files.where("kind = 'excel' AND skip_reason IS NULL").collect()}
     if not books:
         return {}, []
-    all_cells = cells(spark, list(books)).persist()
-    headers = header_rows(all_cells).persist()
-    name = lambda r: safe_name(f"{books[r['path']].rsplit('/', 1)[-1]}_{r['sheet']}")
-    tables = {name(h): sheet_table(all_cells, h["path"], h["sheet"], h["header"], h["width"]) for h in headers.collect()}
-    return tables, [(name(n), n["code"], n["message"]) for n in sheet_notes(all_cells, headers).collect()]
+    told = cells(spark, list(books)).persist()
+    good = told.where("row > 0")
+    headers = header_rows(good).persist()
+    place = lambda r: books[r["path"]] + (f"_{r['sheet']}" if r["sheet"] is not None else "")
+    tables = {place(h): sheet_table(good, h["path"], h["sheet"], h["header"], h["width"]) for h in headers.collect()}
+    broken = [(place(r), "excel.sheet_unreadable", f"it could not be read: {r['value']}") for r in told.where("row = 0").collect()]
+    return tables, broken + [(place(n), n["code"], n["message"]) for n in sheet_notes(good, headers).collect()]

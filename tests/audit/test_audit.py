@@ -152,6 +152,10 @@ def test_vocabulary_and_proposals(spark):
     text = rules.render([made], {"status": "seen so far"})
     assert "not in force" in text and rules.load(text)[0].values == made.values
     assert made.assertion_id() == rules.Rule(**{**made.__dict__, "message": "other words"}).assertion_id()
+    again = rules.load(rules.render(audit_queries.RULES))
+    assert [r.assertion_id() for r in again] == [r.assertion_id() for r in audit_queries.RULES]
+    with pytest.raises(rules.RuleError):
+        rules.load('{"version": 2, "rules": []}')
     for bad in ([{"id": "a", "table": "t", "expect": "odd"}], [{"id": "a", "table": "t", "column": "c", "expect": "unique"}] * 2, [{"id": "a", "table": "t", "column": "c", "expect": "range"}], [{"id": "a", "table": "t", "column": "c", "expect": "unique", "oops": 1}]):
         with pytest.raises(rules.RuleError):
             rules.parse(bad)
@@ -169,8 +173,12 @@ def test_adhoc(spark):
     people(spark)
     out, cut = adhoc.run_sql(spark, "SELECT name, count(*) AS n FROM persons GROUP BY name", statistics=("n",), limit=3)
     assert cut and out.count() == 3 and all(r["name"] is None or r["name"].startswith("⟨") for r in out.collect())
-    with pytest.raises(ValueError):
-        adhoc.run_sql(spark, "DROP TABLE persons")
+    spark.sql("CREATE OR REPLACE TEMP VIEW kept AS SELECT 1 AS x")
+    for text in ("DROP TABLE persons", "DROP VIEW kept", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM x", "SELECT 1; SELECT 2", "SET a=b", "CREATE TABLE z AS SELECT 1", "FROM persons INSERT INTO t SELECT *", "nonsense"):
+        with pytest.raises(ValueError):
+            adhoc.run_sql(spark, text)
+    assert adhoc.run_sql(spark, "SELECT 'a;b' AS v, (SELECT max(x) FROM kept) AS m;", statistics=("m",))[0].collect() == [("⟨X;X⟩", 1)]
+    assert adhoc.run_sql(spark, "WITH w AS (SELECT * FROM kept) SELECT x FROM w UNION ALL VALUES (2)", statistics=("x",))[0].count() == 2
     key = adhoc.candidate_key(spark.table("persons"), ["person_id"]).first()
     assert (key["rows"], key["distinct_keys"], key["rows_in_duplicates"], key["is_key"]) == (8, 6, 4, False)
     p = prof.profile({"persons": spark.table("persons")}, NOW)
@@ -231,6 +239,60 @@ def test_folder(spark, tmp_path):
     assert {("table.unreadable_rows", "orders_csv"), ("column.duplicate_header", "customers_csv"), ("reference.orphan_values", "orders_csv"), ("excel.hidden_rows", "book_xlsx_q1")} <= found
 
 
+def test_values_that_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note,n\n1,"two\nlines",5\n2,plain,6\n3,short\n4,"x ""y"", z\n\nend",7\n5,a,b,c\n')
+    (tmp_path / "b.csv").write_text("id,n\n" + "".join(f"{i},{i}\n" for i in range(50)) + "9\n")
+    out = delimited.read_folder(spark, str(tmp_path))
+    rows = {r["id"]: (r["note"], r["n"]) for r in out["tables"]["a_csv"].collect()}
+    assert rows == {"1": ("two\nlines", "5"), "2": ("plain", "6"), "4": ('x "y", z\n\nend', "7")}
+    assert [(r["table"], r["line"], r["error_type"]) for r in out["rejects"].orderBy("table", "line").collect()] == [("a_csv", 5, "MISSING COLUMNS"), ("a_csv", 9, "TOO MANY COLUMNS"), ("b_csv", 52, "MISSING COLUMNS")]
+
+
+def test_large_heads_and_line_numbers(spark, tmp_path, monkeypatch):
+    """Heads of large files come alone; lines are numbered over the parts of a file."""
+    monkeypatch.setattr(delimited, "WHOLE_BYTES", 100)
+    (tmp_path / "big.csv").write_text("id;n\n" + "".join(f"{i};{i}\n" if i % 500 else f"{i}\n" for i in range(1, 2001)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        out = delimited.read_folder(spark, str(tmp_path))
+        assert out["tables"]["big_csv"].columns == ["id", "n"] and out["tables"]["big_csv"].count() == 1996
+        assert [r["line"] for r in out["rejects"].orderBy("line").collect()] == [501, 1001, 1501, 2001]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_workbooks_side_by_side(spark, tmp_path):
+    """Sheets and files of like names keep a table each, a broken workbook or sheet is noted, dates read as dates."""
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    names = ["Q 1", "Q-1", "Bad"]
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml" Type="{rel}/worksheet"/>' for i in range(3)) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="171" formatCode="[Red]0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        for i in range(2):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet {ns}><sheetData><row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{h}</t></is></c>' for c, h in zip("ABC", ("day", "at", "n"))) + '</row><row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2" s="2"><v>45292.75</v></c><c r="C2" s="3"><v>45292</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", "<worksheet")
+    (tmp_path / "broken.xlsx").write_bytes(b"PK not a workbook")
+    (tmp_path / "x_xlsx_q_1.csv").write_text("a,b\n1,2\n3,4\n")
+    out = delimited.read_folder(spark, str(tmp_path))
+    assert len(out["tables"]) == 3 and {len(df.columns) for df in out["tables"].values()} == {2, 3}
+    for name, df in out["tables"].items():
+        if len(df.columns) == 3:
+            assert df.collect() == [("2024-01-01", "2024-01-01 18:00:00", "45292")], name
+    assert sorted(r["table"] for r in out["notes"].where("code = 'excel.sheet_unreadable'").collect()) == ["broken_xlsx", "x_xlsx_bad"]
+    found = audit_folder(spark, str(tmp_path), NOW)["findings"].where("rule = 'excel.sheet_unreadable'").collect()
+    assert len(found) == 2 and all(r["title"] == "could not be opened" and "could not be read" in r["observed"] for r in found)
+
+
+def test_measure(spark):
+    """Row counts of a table are taken together; a query's own fault gives null, and no other query is lost by it."""
+    people(spark)
+    told = findings.measure(spark, {"a": "SELECT count(*) FROM `persons` WHERE name = 'Ann'", "b": "SELECT count(*) FROM `persons` WHERE no_such = 1", "c": "SELECT count(*) FROM `persons` WHERE 1 / (length(person_id) - 1) > 0",
+                                    "d": "SELECT 1 / 0", "e": "SELECT count(*) FROM `persons` WHERE name IN (SELECT 'Ann')", "f": "SELECT count(*) FROM (SELECT 1)", "g": "SELECT count(*) FROM `persons` WHERE amount = '60'"})
+    assert told == {"a": 1, "b": None, "c": None, "d": None, "e": 1, "f": 1, "g": 2}
+
+
 def test_delimiters():
     assert delimited.delimiter_of(["a;b;c", "1;2,5;3", "4;5,5;6"], "csv")[0] == ";"
     assert delimited.delimiter_of(['x,"a,b",c', "1,2,3"], "csv")[0] == ","
