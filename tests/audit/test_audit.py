@@ -289,7 +289,7 @@ def test_measure(spark):
     """Row counts of a table are taken together; a query's own fault gives null, and no other query is lost by it."""
     people(spark)
     told = findings.measure(spark, {"a": "SELECT count(*) FROM `persons` WHERE name = 'Ann'", "b": "SELECT count(*) FROM `persons` WHERE no_such = 1", "c": "SELECT count(*) FROM `persons` WHERE 1 / (length(person_id) - 1) > 0",
-                                    "d": "SELECT 1 / 0", "e": "SELECT count(*) FROM `persons` WHERE name IN (SELECT 'Ann')", "f": "SELECT count(*) FROM (SELECT 1)", "g": "SELECT count(*) FROM `persons` WHERE amount = '60'"})
+                                    "d": "SELECT 1 / 0", "e": "SELECT count(*) FROM `persons` WHERE name IN (SELECT name FROM persons WHERE name = 'Ann')", "f": "SELECT count(*) FROM (SELECT 1)", "g": "SELECT count(*) FROM `persons` WHERE amount = '60'"})
     assert told == {"a": 1, "b": None, "c": None, "d": None, "e": 1, "f": 1, "g": 2}
 
 
