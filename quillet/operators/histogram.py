@@ -17,17 +17,24 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def cells(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, ordinal, column, value): every cell of text tables."""
-    def one(name: str, df: DataFrame) -> DataFrame:
-        named = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"`{c.replace('`', '``')}`").alias("value")) for i, c in enumerate(df.columns)]
-        return df.select(F.lit(name).alias("table"), F.explode(F.array(*named)).alias("x")).select("table", "x.ordinal", "x.column", "x.value")
-
-    return reduce(DataFrame.unionByName, (one(n, d) for n, d in sorted(tables.items()) if d.columns))
+    """(place, value): every cell of text tables; place is its column's place in columns_of(tables)."""
+    parts, place = [], 0
+    for _, df in sorted(tables.items()):
+        if df.columns:
+            named = [F.struct(F.lit(place + i).alias("place"), F.col(f"`{c.replace('`', '``')}`").alias("value")) for i, c in enumerate(df.columns)]
+            parts.append(df.select(F.inline(F.array(*named))))
+            place += len(df.columns)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def histogram(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, ordinal, column, value, n); null is a value. Counted before the shuffle, so a hot value costs a row per task."""
-    return cells(tables).groupBy("table", "ordinal", "column", "value").agg(F.count("*").alias("n"))
+    """(table, ordinal, column, value, n); null is a value. Counted before the shuffle, so a hot value costs a row per task.
+
+    Columns are shuffled as numbers and named afterwards.
+    """
+    names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(i).alias("ordinal"), F.lit(c).alias("column")) for t, i, c, _ in columns_of(tables)])
+    counted = cells(tables).groupBy("place", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("named", F.get(names, F.col("place"))).select("named.table", "named.ordinal", "named.column", "value", "n")
 
 
 def columns_of(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]:

@@ -21,7 +21,8 @@ QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once. For frames with a row per column of the data set only: they pass through the driver."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    df = df.select(*[F.col(P.ident(c)).cast(t).alias(c) for c, t in df.dtypes])  # all fields nullable, as those of a null struct are
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)  # a local relation: later joins need no job to read it
 
 
 def _sum(condition: str) -> Column:
@@ -115,15 +116,23 @@ def sentinels(h: DataFrame) -> DataFrame:
     return hits.join(total, KEY).select(*KEY, "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def quantiles(x: DataFrame) -> DataFrame:
+def _cuts() -> list[Column]:
+    """Approximate bounds of 64 ranges of x, and the number of rows."""
+    return [F.percentile_approx("x", F.lit([i / 64 for i in range(1, 64)]), F.lit(2000)).alias("cuts"), F.sum("n").alias("whole")]
+
+
+def quantiles(x: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """Exact interpolated quartiles of (table, column, x, n), without one task per column.
 
     Approximate bounds cut each column into 64 ranges; the ranges' counts tell which of them hold the wanted ranks,
     and only those are ordered.
     """
-    cuts = x.groupBy(*KEY).agg(F.percentile_approx("x", F.lit([i / 64 for i in range(1, 64)]), F.lit(2000)).alias("cuts"), F.sum("n").alias("whole"))
-    cuts = settled(cuts)  # approximate bounds may differ from one evaluation to the next
-    x = x.join(F.broadcast(cuts), KEY).withColumn("cut", F.expr("size(filter(cuts, c -> c < x))"))
+    # settled: approximate bounds may differ from one evaluation to the next
+    cuts = settled(x.groupBy(*KEY).agg(*_cuts())) if cuts is None else cuts
+    x = x.join(F.broadcast(cuts), KEY).withColumn("cut", F.lit(0))
+    for step in (32, 16, 8, 4, 2, 1):  # binary search for the number of cuts below x
+        x = x.withColumn("cut", F.col("cut") + F.when(F.get("cuts", F.col("cut") + step - 1) < F.col("x"), step).otherwise(0))
+    x = x.drop("cuts")
     sums = x.groupBy(*KEY, "cut", "whole").agg(F.sum("n").alias("inside"))
     before = F.sum("inside").over(Window.partitionBy(*KEY).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -148,14 +157,15 @@ def numeric_detail(h: DataFrame) -> DataFrame:
     x = h.where(P.non_blank("value")).select(*KEY, F.expr(P.number("value")).alias("x"), "n").where("x IS NOT NULL")
     x = x.groupBy(*KEY, "x").agg(F.sum("n").alias("n")).persist()
     first = x.groupBy(*KEY).agg(F.sum("n").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
-                                _sum("x < 0").alias("negative"), _sum("x = 0").alias("zero"))
+                                _sum("x < 0").alias("negative"), _sum("x = 0").alias("zero"), *_cuts())
     first = settled(first)
+    cuts, first = first.select(*KEY, "cuts", "whole"), first.drop("cuts", "whole")
     spread = x.join(F.broadcast(first.select(*KEY, "mean", "count")), KEY).groupBy(*KEY).agg(
         F.sqrt(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)) / F.first(F.nullif(F.col("count") - 1, F.lit(0)))).alias("stddev"))
-    stats = settled(first.join(spread, KEY).withColumn("stddev", F.coalesce("stddev", F.lit(0.0))))
+    stats = settled(F.broadcast(first).join(spread, KEY).withColumn("stddev", F.coalesce("stddev", F.lit(0.0))))
     far = x.join(F.broadcast(stats.select(*KEY, "mean", "stddev", "count")), KEY).groupBy(*KEY).agg(
         _sum(f"stddev > 0 AND count > 2 AND abs(x - mean) > {SIGMA} * stddev").alias("outliers"))
-    out = settled(stats.join(far, KEY).join(quantiles(x), KEY))
+    out = settled(F.broadcast(stats).join(far, KEY).join(quantiles(x, cuts), KEY))
     x.unpersist()
     return out
 
