@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,33 +14,15 @@ from . import findings as K
 MOST_ROWS, MOST_SAMPLES = 10_000, 50
 
 
-def reads_only(spark: SparkSession, query: str) -> bool:
-    """Whether a text is one statement that only reads: no command and no write stands anywhere in the plan Spark parses it to."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    except ParseException:
-        return False
-    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    refused = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement")]
-    todo = [plan]
-    while todo:
-        node = todo.pop()
-        if any(r.isInstance(node) for r in refused):
-            return False
-        below = node.children()
-        todo += [below.apply(i) for i in range(below.size())]
-    return True
-
-
 def run_sql(spark: SparkSession, query: str, statistics: tuple[str, ...] = (), limit: int = MOST_ROWS, show_values: bool = False) -> tuple[DataFrame, bool]:
     """The rows of one SELECT over the registered tables, and whether they were cut at limit.
 
     Columns named in statistics pass if they are numbers; every other cell is shown as its shape. Anything but one
-    reading statement is refused before it runs.
+    reading statement over registered views is refused before it runs.
     """
     limit = min(limit, MOST_ROWS)
-    if not reads_only(spark, query):
-        raise ValueError("one SELECT at a time")
+    if not K.reads_views_only(spark, query):
+        raise ValueError("one SELECT at a time, over registered tables")
     found = spark.sql(query)
     got = found.limit(limit + 1).collect()  # run once, so that the rows and the flag agree; limit is at most MOST_ROWS
     limited, cut, shown = spark.createDataFrame(got[:limit], found.schema), len(got) > limit, []
@@ -107,15 +88,15 @@ def known_at(findings: DataFrame, table: str, column: str | None = None) -> Data
 def verify_claims(claims: DataFrame) -> DataFrame:
     """claims (claim, table, column, count_query, claimed) plus rule, measured, accepted and why.
 
-    A claim stands only if its query runs and gives the number claimed, and that is not zero. Claims are what people
-    write, so they pass through the driver; their queries run on the tables.
+    A claim stands only if its query reads registered views, runs and gives the number claimed, and that is not zero.
+    Claims are what people write, so they pass through the driver; their queries run on the tables.
     """
     spark = claims.sparkSession
     rows = claims.collect()
-    told = K.measure(spark, {str(i): r["count_query"] for i, r in enumerate(rows)})
+    told = K.measure(spark, {str(i): r["count_query"] for i, r in enumerate(rows)}, trusted=False)
     out = []
     for i, r in enumerate(rows):
         n = told[str(i)]
-        why = "its query cannot run" if n is None else "nothing was found" if n == 0 else "" if n == r["claimed"] else f"{n} rows were found"
+        why = "its query gives no number" if n is None else "nothing was found" if n == 0 else "" if n == r["claimed"] else f"{n} rows were found"
         out.append(("claim." + re.sub(r"[^a-z0-9]+", "_", r["claim"].lower()).strip("_")[:60], r["claim"], r["table"], r["column"], r["count_query"], r["claimed"], n, not why, why))
     return spark.createDataFrame(out, "rule string, claim string, table string, column string, count_query string, claimed long, measured long, accepted boolean, why string")

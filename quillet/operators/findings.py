@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from numbers import Number
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, ParseException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +34,10 @@ def finding(rule: str, severity: int | Column, title: Column, remedy: str, count
     return [v.alias(c) for v, c in zip(values, COLUMNS)]
 
 
-def identity() -> Column:
-    """First 16 hex digits of the SHA-256 of rule, table and column: the same finding keeps its id from run to run."""
-    return F.substring(F.sha2(F.concat_ws("\u0000", F.col("rule"), F.coalesce("table", F.lit("")), F.coalesce("column", F.lit(""))), 256), 1, 16)
+def identity(line: Column | None = None) -> Column:
+    """First 16 hex digits of the SHA-256 of rule, table, column and, for findings about one line of a file, its number: the same finding keeps its id from run to run."""
+    parts = [F.col("rule"), F.coalesce("table", F.lit("")), F.coalesce("column", F.lit(""))]
+    return F.substring(F.sha2(F.concat_ws("\u0000", *parts, *([] if line is None else [F.nullif(line.cast("string"), F.lit("0"))])), 256), 1, 16)
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
@@ -46,6 +50,11 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("severity"), "table", "column", "rule")
 
 
+def ranked(findings: DataFrame) -> DataFrame:
+    """findings with their place in order, from 1. They are few (columns and rules), so one task orders them."""
+    return findings.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("severity"), "table", "column", "rule")).cast("long"))
+
+
 def severity_name(severity: Column) -> Column:
     return F.element_at(F.lit(list(SEVERITIES)), severity + 1)
 
@@ -63,30 +72,109 @@ def reaches(findings: DataFrame, threshold: int) -> bool:
     return not findings.where(F.col("severity") >= threshold).isEmpty()
 
 
+def gate(findings: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """thresholds (min_severity) with reached: whether any finding is as severe."""
+    worst = findings.agg(F.max("severity").alias("worst"))
+    return thresholds.join(F.broadcast(worst)).select("min_severity", F.coalesce(F.col("worst") >= F.col("min_severity"), F.lit(False)).alias("reached"))
+
+
 #: What a query may fail with by its own fault; anything else, as a lost executor, is not the query's and is raised.
-FAULTS = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, DateTimeException, ArrayIndexOutOfBoundsException, SparkRuntimeException)
+FAULTS = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, DateTimeException, ArrayIndexOutOfBoundsException, SparkRuntimeException, Py4JJavaError)
+
+
+def own_fault(e: Exception) -> Exception:
+    """e, if it is the query's own; raised again otherwise. Some faults reach Python as errors of the JVM, told by their SQLSTATE's class."""
+    if isinstance(e, Py4JJavaError) and not re.search(r"SQLSTATE: (?:0A|21|22|42)|java.util.regex.PatternSyntaxException", str(e)):
+        raise e
+    return e
+
+
 #: Counts of rows of one table under a condition on single rows: these are taken together, in one pass over the table.
 ROW_COUNT = re.compile(r"SELECT count\(\*\) FROM (`(?:[^`]|``)+`) WHERE (.*)", re.DOTALL)
 
 
-def measure(spark: SparkSession, queries: dict[str, str]) -> dict[str, int | None]:
-    """The number each count query gives; null if it cannot run.
+#: Functions that run code of the JVM by its name.
+REFLECTION = {"reflect", "java_method", "try_reflect"}
+
+
+def _nodes(spark: SparkSession, query: str, deep: bool) -> Iterator[tuple[str, object]]:
+    """(class name, node) of the plan Spark parses a text to; deep: of common table expressions, subqueries and expressions, too."""
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    commands = [loader.loadClass(logical + name) for name in ("Command", "ParsedStatement")]
+    subquery = loader.loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    plans = loader.loadClass(logical + "LogicalPlan")
+    items = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    while todo:
+        node = todo.pop()
+        name = "Command" if any(c.isInstance(node) for c in commands) else node.getClass().getSimpleName()
+        yield name, node
+        todo += items(node.children())
+        if deep:
+            if plans.isInstance(node):
+                todo += items(node.expressions())
+            if subquery.isInstance(node):
+                todo.append(node.plan())
+            if name == "UnresolvedWith":
+                todo += [pair._2() for pair in items(node.cteRelations())]
+
+
+def reads_only(spark: SparkSession, query: str) -> bool:
+    """Whether a text is one statement that only reads: no command and no write stands in the plan Spark parses it to."""
+    try:
+        return all(name != "Command" for name, _ in _nodes(spark, query, deep=False))
+    except ParseException:
+        return False
+
+
+def reads_views_only(spark: SparkSession, query: str) -> bool:
+    """Whether a text is one reading statement over registered views: no files, no catalog tables, no JVM functions."""
+    try:
+        nodes = list(_nodes(spark, query, deep=True))
+    except ParseException:
+        return False
+    words = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    known = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    known |= {pair.lower() for name, node in nodes if name == "UnresolvedWith" for pair in (words(node.cteRelations())[i]._1() for i in range(node.cteRelations().size()))}
+    for name, node in nodes:
+        if name == "Command":
+            return False
+        if name == "UnresolvedRelation" and (node.multipartIdentifier().size() != 1 or node.multipartIdentifier().apply(0).lower() not in known):
+            return False
+        if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction") and {w.lower() for w in words(getattr(node, "nameParts" if name == "UnresolvedFunction" else "name")())} & REFLECTION:
+            return False
+    return True
+
+
+def measure(spark: SparkSession, queries: dict[str, str], trusted: bool = True) -> dict[str, int | None]:
+    """The number each count query gives; null if it cannot run, gives no number, or more than one.
 
     Counts of one table's rows take one pass over it, other queries run as one union; singly only where that fails.
+    Nothing but reading statements runs; queries that users write (not trusted) may read registered views only.
     """
-    out: dict[str, int | None] = {}
+    allowed = reads_only if trusted else reads_views_only
+    out: dict[str, int | None] = {k: None for k in queries}
+    queries = {k: q for k, q in queries.items() if q and allowed(spark, q)}
+
+    def number(value) -> int | None:
+        return value if isinstance(value, Number) and not isinstance(value, bool) else None
 
     def alone(query: str) -> int | None:
         try:
-            return spark.sql(query).first()[0]
-        except FAULTS:
+            found = spark.sql(query)
+            rows = found.take(2) if len(found.columns) == 1 else []
+            return number(rows[0][0]) if len(rows) == 1 else None
+        except FAULTS as e:
+            own_fault(e)
             return None
 
     def batch(keys: list[str], text) -> None:
         try:
             row = spark.sql(text(keys)).first()
-            out.update((k, row[i]) for i, k in enumerate(keys))
-        except FAULTS:
+            out.update((k, number(row[i])) for i, k in enumerate(keys))
+        except FAULTS as e:
+            own_fault(e)
             if len(keys) == 1:
                 out[keys[0]] = alone(queries[keys[0]])
                 return
@@ -130,11 +218,13 @@ def verified(findings: DataFrame) -> DataFrame:
     return spark.createDataFrame(kept, SCHEMA)
 
 
-def offending_rows(spark: SparkSession, row_query: str, limit: int = 100) -> tuple[DataFrame, bool]:
-    """The rows a finding's query selects, at most limit (1000 at most), and whether there are more."""
+def offending_rows(spark: SparkSession, row_query: str, limit: int = 100, order: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """The rows a finding's query selects, at most limit (1000 at most; the first in the order of some columns, if given), and whether there are more."""
     limit = min(limit, 1000)
-    found = spark.sql(f"SELECT * FROM ({row_query}) LIMIT {limit + 1}")
-    rows = found.collect()  # run once: 1001 rows at most
+    if not reads_only(spark, row_query):
+        raise ValueError("a row query only reads")
+    found = spark.sql(re.sub(r" LIMIT \d+$", "", row_query))
+    rows = (found.orderBy(*order) if order else found).limit(limit + 1).collect()  # run once: 1001 rows at most
     return spark.createDataFrame(rows[:limit], found.schema), len(rows) > limit
 
 

@@ -276,9 +276,6 @@ def referential_integrity(spark, sf_dir):
     return adhoc.referential_integrity(t["orders"], "o_custkey", t["customer"], "c_custkey")
 
 
-_KEYED = "SELECT \"table\", \"column\", \"distinct\" AS d, total - nulls - blanks AS present FROM (" + union(counts_sql(n) for n in ("orders", "customer", "part")) + ")"
-
-
 KEYED = ("orders", "customer", "part", "supplier", "events", "documents")
 IDENTIFIER = f"""regexp_matches(lower("column"), '({"|".join(relate.IDENTIFIER_ENDS)})$')"""
 KEYS_SQL = (f'SELECT "table", "column", "distinct" AS d, total - nulls - blanks AS present, kind FROM ({union(counts_sql(n) for n in KEYED)}) JOIN ({kinds_sql(*KEYED)}) USING ("table", "column") '
@@ -520,13 +517,68 @@ def severity_counts(spark, sf_dir):
     return findings.severity_counts(findings.deduplicated(found.unionByName(found)))
 
 
-@query(f"SELECT 'claim.pending_orders' AS rule, (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending') AS measured, false AS accepted UNION ALL SELECT 'claim.right', (SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending'), true UNION ALL SELECT 'claim.none', 0, false UNION ALL SELECT 'claim.broken', NULL, false")
+_PENDING = f"(SELECT count(*) FROM {source_sql('orders')} WHERE o_cents = 'pending')"
+_PEOPLE = f"(SELECT count(*) FROM {source_sql('orders')} WHERE o_custkey IN (SELECT c_custkey FROM {source_sql('customer')}))"
+
+
+@query(union(f"SELECT 'claim.{rule}' AS rule, CAST({n} AS BIGINT) AS measured, {accepted} AS accepted" for rule, n, accepted in (
+    ("pending_orders", _PENDING, "false"), ("right", _PENDING, "true"), ("across_tables", _PEOPLE, "true"), ("none", "0", "false"),
+    *((r, "NULL", "false") for r in ("broken", "writes", "drops", "makes_a_table", "sets", "reads_a_file", "calls_the_jvm", "gives_text", "gives_rows", "gives_nothing")))))
 def claims(spark, sf_dir):
-    texts(spark, sf_dir, "orders")
-    pending = spark.table("orders").where("o_cents = 'pending'").count()
-    said = [("Right", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", pending), ("Pending orders!", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'pending'", -1), ("none", "orders", "o_cents", "SELECT count(*) FROM orders WHERE o_cents = 'nothing'", 0),
-            ("broken", "orders", "o_cents", "SELECT count(*) FROM orders WHERE no_such_column = 1", 3)]
-    return adhoc.verify_claims(spark.createDataFrame(said, "claim string, `table` string, `column` string, count_query string, claimed long")).select("rule", "measured", "accepted")
+    """Claims that are right, wrong, or that would do something else than read the registered tables."""
+    texts(spark, sf_dir, "orders", "customer")
+    count = "SELECT count(*) FROM orders WHERE "
+    met = "WITH known AS (SELECT c_custkey FROM customer) " + count + "o_custkey IN (SELECT c_custkey FROM known)"
+    true = {q: spark.sql(q).first()[0] for q in (count + "o_cents = 'pending'", met)}
+    said = [("Right", count + "o_cents = 'pending'", true[count + "o_cents = 'pending'"]), ("Pending orders!", count + "o_cents = 'pending'", -1), ("across tables", met, true[met]), ("none", count + "o_cents = 'nothing'", 0),
+            ("broken", count + "no_such_column = 1", 3), ("writes", "INSERT INTO orders SELECT * FROM orders", 1), ("drops", "DROP VIEW orders", 0), ("makes a table", "CREATE TABLE made AS SELECT 1 AS n", 1), ("sets", "SET spark.sql.ansi.enabled=false", 1),
+            ("reads a file", f"SELECT count(*) FROM parquet.`{sf_dir}/orders.parquet`", 1), ("calls the JVM", "SELECT length(reflect('java.lang.System', 'getProperty', 'user.dir'))", 1), ("gives text", "SELECT max(o_cents) FROM orders", 1),
+            ("gives rows", "SELECT 1 FROM orders", 1), ("gives nothing", "SELECT 1 WHERE false", 1)]
+    return adhoc.verify_claims(spark.createDataFrame([(c, "orders", "o_cents", q, n) for c, q, n in said], "claim string, `table` string, `column` string, count_query string, claimed long")).select("rule", "measured", "accepted")
+
+
+# ---- rules that fail on some row, and rules over two tables -----------------------------------------------------------
+FRAGILE = rules.parse([
+    {"id": "bad_cast", "table": "orders", "expect": "sql", "where": "CAST(o_cents AS BIGINT) > 30000000"},
+    {"id": "bad_pattern", "table": "orders", "column": "o_custkey", "expect": "matches", "pattern": "([0-9]+"},
+    {"id": "bad_division", "table": "orders", "expect": "sql", "where": "1 / (length(o_orderstatus) - 1) > 0"},
+    {"id": "priority_given", "table": "orders", "column": "o_orderpriority", "expect": "not_null"},
+    {"id": "status_known", "table": "orders", "column": "o_orderstatus", "expect": "one_of", "values": ["F", "O"]},
+    {"id": "known_customer", "table": "orders", "expect": "sql", "where": "NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = orders.o_custkey)"},
+])
+
+
+@query("SELECT rule, \"table\", \"column\", count, total FROM (" + union([
+    *(f"SELECT 'rule.invalid' AS rule, 'orders' AS \"table\", {c} AS \"column\", 0 AS count, 0 AS total" for c in ("NULL", "'o_custkey'", "NULL")),
+    *(f"SELECT '{r}', 'orders', {c}, {d_count(w)}, count(*) FROM {source_sql('orders')} AS o" for r, c, w in (
+        ("priority_given", "'o_orderpriority'", f"NOT {d_blank('o_orderpriority')}"), ("status_known", "'o_orderstatus'", "o_orderstatus NOT IN ('F', 'O')"),
+        ("known_customer", "NULL", f"o_custkey NOT IN (SELECT c_custkey FROM {source_sql('customer')})")))]) + ")")
+def rules_that_fail(spark, sf_dir):
+    """Conditions that break on some row become findings of their own; the other rules of the table are counted all the same."""
+    return rules.evaluate(spark, texts(spark, sf_dir, "orders", "customer"), FRAGILE, AUDIT_TIME).select("rule", "table", "column", "count", "total")
+
+
+ACROSS = rules.parse([
+    {"id": "shipped_late", "table": "lineitem", "expect": "across", "other": "orders", "on": ["l_orderkey = o_orderkey"], "left": "CAST(l_shipdate AS DATE)", "op": ">", "right": "CAST(o_orderdate AS DATE) + INTERVAL 90 DAY"},
+    {"id": "urgent_returned", "table": "orders", "expect": "across", "other": "lineitem", "on": ["o_orderkey = l_orderkey"],
+     "where": "orders.o_orderpriority = '1-URGENT' AND lineitem.l_returnflag = 'R' AND CAST(lineitem.l_shipdate AS DATE) > CAST(orders.o_orderdate AS DATE) + INTERVAL 60 DAY"},
+    {"id": "after_last_order", "table": "lineitem", "expect": "across", "other": "orders", "left": "CAST(l_shipdate AS DATE)", "op": "<=", "right": "CAST(o_orderdate AS DATE) - INTERVAL 1200 DAY"},
+    {"id": "same_day_events", "table": "orders", "expect": "across", "other": "events", "on": ["o_custkey = user_id"], "left": "CAST(o_orderdate AS DATE)", "op": ">=", "right": "CAST(day AS DATE) + INTERVAL 10 DAY"},
+])
+
+
+def across_sql(rule: rules.Rule) -> str:
+    keys = [f"{rule.table}.{a.strip()} = {rule.other}.{b.strip()}" for a, b in (k.split("=") for k in rule.on)]
+    where = " AND ".join([*keys, rule.where or f"{rule.left} {rule.op} {rule.right}"])
+    return (f"SELECT '{rule.id}' AS rule, '{rule.table}' AS \"table\", count(*) AS count, (SELECT count(*) FROM {rule.table}) AS total, true AS verified FROM {source_sql(rule.table)} AS {rule.table} "
+            f"WHERE EXISTS (SELECT 1 FROM {source_sql(rule.other)} AS {rule.other} WHERE {where}) HAVING count(*) > 0")
+
+
+@query(union(across_sql(r) for r in ACROSS))
+def rules_across_tables(spark, sf_dir):
+    """Rules over two tables, by keys or without, counted as rules and again by their evidence."""
+    found = rules.evaluate(spark, texts(spark, sf_dir, "orders", "lineitem", "events"), ACROSS, AUDIT_TIME)
+    return findings.verified(found).select("rule", "table", "count", "total", "verified")
 
 
 # ---- rules about rules, E8 and E13-E21 ------------------------------------------------------------------------------
@@ -573,8 +625,7 @@ def findings_export(spark, sf_dir):
 
 @query(f"SELECT rank, rule FROM (SELECT row_number() OVER (ORDER BY CASE WHEN rule = 'cents_positive' THEN 1 ELSE 2 END DESC, \"table\", \"column\" NULLS FIRST, rule) AS rank, rule FROM ({ORACLE_SQL['rule_violations']}))")
 def findings_in_order(spark, sf_dir):
-    names = [r["rule"] for r in findings.ordered(violations(spark, sf_dir)).select("rule").collect()]
-    return spark.createDataFrame(list(enumerate(names, 1)), "rank long, rule string")
+    return findings.ranked(violations(spark, sf_dir)).select("rank", "rule")
 
 
 @query(f"SELECT run_id, findings, error, warning, info FROM (SELECT count(*) AS findings, count(*) FILTER (rule <> 'cents_positive') AS error, count(*) FILTER (rule = 'cents_positive') AS warning, 0::BIGINT AS info FROM ({ORACLE_SQL['rule_violations']})), (VALUES ('first'), ('second')) t(run_id)")
@@ -587,18 +638,20 @@ def run_history(spark, sf_dir):
     return findings.runs(findings.read_history(spark, path)).select("run_id", "findings", "error", "warning", "info")
 
 
-@query(f"SELECT o_orderkey, o_cents FROM {source_sql('orders')} WHERE {d_blank('o_cents')} AND coalesce({d_number('o_cents')}, 0) < 0 QUALIFY count(*) OVER () <= 1000")
+_NEGATIVE = f"FROM {source_sql('orders')} WHERE {d_blank('o_cents')} AND coalesce({d_number('o_cents')}, 0) < 0"
+
+
+@query(f"SELECT o_orderkey, o_cents, (SELECT count(*) {_NEGATIVE}) > 1000 AS cut FROM (SELECT o_orderkey, o_cents {_NEGATIVE} ORDER BY o_orderkey, o_cents LIMIT 1000)")
 def offending_rows(spark, sf_dir):
-    """The rows behind a finding (none are shown here if there are more than a thousand)."""
+    """The rows behind a finding: the first thousand by key, and whether there are more."""
     row = violations(spark, sf_dir).where("rule = 'cents_not_negative'").first()
-    rows, cut = findings.offending_rows(spark, row["row_query"].replace(" LIMIT 100", ""), 1000)
-    return rows.select("o_orderkey", "o_cents").where(F.lit(not cut))
+    rows, cut = findings.offending_rows(spark, row["row_query"], 1000, ("o_orderkey", "o_cents"))
+    return rows.select("o_orderkey", "o_cents", F.lit(cut).alias("cut"))
 
 
 @query(f"SELECT min_severity, EXISTS (SELECT 1 FROM ({ORACLE_SQL['rule_violations']}) WHERE (min_severity = 2 AND rule <> 'cents_positive') OR min_severity < 2) AS reached FROM (VALUES (0), (1), (2), (3)) t(min_severity) WHERE min_severity < 3 UNION ALL SELECT 3, false")
 def severity_gate(spark, sf_dir):
-    found = prof.settled(violations(spark, sf_dir))
-    return spark.createDataFrame([(n, findings.reaches(found, n)) for n in range(4)], "min_severity int, reached boolean")
+    return findings.gate(violations(spark, sf_dir), spark.range(4).select(F.col("id").cast("int").alias("min_severity")))
 
 
 # ---- scoring against a manifest -----------------------------------------------------------------------------------------
