@@ -16,6 +16,7 @@ from ..operators import profile as prof
 from ..operators.histogram import histogram
 from ..sources import delimited
 from ..sources.tables import registered
+from ..sources.written import fresh_path
 from .audit import audit
 
 AUDIT_TIME = datetime(2024, 1, 1)
@@ -631,7 +632,7 @@ def findings_in_order(spark, sf_dir):
 @query(f"SELECT run_id, findings, error, warning, info FROM (SELECT count(*) AS findings, count(*) FILTER (rule <> 'cents_positive') AS error, count(*) FILTER (rule = 'cents_positive') AS warning, 0::BIGINT AS info FROM ({ORACLE_SQL['rule_violations']})), (VALUES ('first'), ('second')) t(run_id)")
 def run_history(spark, sf_dir):
     """Two runs kept, one of them written twice, and read again."""
-    path = fresh_folder(spark)
+    path = fresh_path(spark)
     found = prof.settled(violations(spark, sf_dir))
     for run in ("first", "second", "first"):
         findings.write_history(found, path, run)
@@ -678,70 +679,103 @@ def invalid_targets(spark, sf_dir):
     return score.invalid_targets(spark.createDataFrame([("right", pending, [n]), ("stale", pending, [n + 1])], "id string, count_query string, counts array<long>"))
 
 
-# ---- delimited files: given tables written out and read again --------------------------------------------------------
-def fresh_folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
+# ---- delimited files: given tables written out in many parts and read again -------------------------------------------
+PARTS = 4
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/audit-{uuid.uuid4().hex}"
 
+def stored(spark: SparkSession, folder: str, stem: str, lines: DataFrame, extension: str, form: str = "csv", parts: int | None = PARTS, **options: str) -> None:
+    """A frame as stem_N.extension files of a folder, one for each part that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    (lines.repartition(parts) if parts else lines).write.options(**options).format(form).save(f"{folder}/.{stem}")
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(at(f"{folder}/.{stem}")) if f.getPath().getName().startswith("part-") and f.getLen()]
+    for i, part in enumerate(sorted(parts, key=str)):
+        fs.rename(part, at(f"{folder}/{stem}_{i}.{extension}"))
 
-def exported(spark: SparkSession, sf_dir: str) -> dict:
-    """orders as .csv with a row in a hundred cut short, conversations (whose texts may span lines) as .tsv, customers without a header as .psv."""
-    t, path = texts(spark, sf_dir, "orders", "conversations", "customer"), fresh_folder(spark)
-    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    short = F.when(F.col("o_custkey").rlike("7$"), F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(line)
-    body = t["orders"].select(short.alias("value"))
-    spark.createDataFrame([("o_orderkey,o_custkey,o_orderstatus,o_orderdate",)], "value string").unionByName(body).coalesce(1).write.text(f"{path}/orders.csv")
-    t["conversations"].select("conv_id", "turn", F.concat(F.lit("first\nthen "), F.col("turn")).alias("note")).coalesce(1).write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(f"{path}/talk.tsv")
-    t["customer"].select("c_custkey", "c_nationkey", "c_acctbal").coalesce(1).write.option("sep", "|").csv(f"{path}/people.psv")
-    return named_parts(spark, path)
 
+def short_orders(spark: SparkSession, sf_dir: str, folder: str) -> dict:
+    """orders as .csv, all columns; rows whose customer's key ends in 7 are cut short."""
+    t = texts(spark, sf_dir, "orders")["orders"]
+    whole, head = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in t.columns]), F.lit(",".join(t.columns))
+    body = t.select(F.when(F.col("o_custkey").rlike("7$"), F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(whole).alias("value"))
+    for i in range(PARTS):  # each file begins with the header
+        part = body.where(F.pmod(F.xxhash64("value"), F.lit(PARTS)) == i).select("value")
+        stored(spark, folder, f"orders{i}", part.coalesce(1).select(F.when(F.monotonically_increasing_id() == 0, F.concat(head, F.lit("\n"), F.col("value"))).otherwise(F.col("value")).alias("value")), "csv", "text", None)
+    return delimited.read_folder(spark, folder)
 
-def named_parts(spark: SparkSession, path: str) -> dict:
-    """Spark writes folders: each folder's only part takes the folder's name in another folder, which is read."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs.mkdirs(at(f"{path}/read"))
-    for name in ("orders.csv", "talk.tsv", "people.psv"):
-        part = next(f.getPath() for f in fs.listStatus(at(f"{path}/{name}")) if f.getPath().getName().startswith("part-"))
-        fs.rename(part, at(f"{path}/read/{name}"))
-    return delimited.read_folder(spark, f"{path}/read")
+
+def together(read: dict, stem: str) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df for name, df in sorted(read["tables"].items()) if name.startswith(stem)])
 
 
 _SHORT = "regexp_matches(o_custkey, '7$')"
+_ORDERS = ", ".join(f"nullif({c}, '') AS {c}" for c in INPUTS["orders"])
 
 
-@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM {source_sql('orders')} WHERE NOT {_SHORT}")
+@query(f"SELECT {_ORDERS} FROM {source_sql('orders')} WHERE NOT {_SHORT}")
 def delimited_rows(spark, sf_dir):
-    """Rows of a comma-separated file that fit its header."""
-    return exported(spark, sf_dir)["tables"]["orders_csv"]
+    """Rows of comma-separated files that fit their headers."""
+    return together(short_orders(spark, sf_dir, fresh_path(spark)), "orders")
 
 
-@query(f"SELECT 'orders_csv' AS \"table\", 'MISSING COLUMNS' AS error_type, o_orderkey || ',' || o_custkey AS raw FROM {source_sql('orders')} WHERE {_SHORT}")
+@query(f"SELECT 'MISSING COLUMNS' AS error_type, o_orderkey || ',' || o_custkey AS raw, true AS numbered FROM {source_sql('orders')} WHERE {_SHORT}")
 def delimited_rejects(spark, sf_dir):
-    """Rows that do not fit, put aside."""
-    return exported(spark, sf_dir)["rejects"].select("table", "error_type", "raw")
+    """Rows that do not fit, put aside with their lines' numbers."""
+    return short_orders(spark, sf_dir, fresh_path(spark))["rejects"].select("error_type", "raw", (F.col("line") > 1).alias("numbered"))
+
 
+QUOTED = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
 
-@query(f"SELECT conv_id, turn, 'first' || chr(10) || 'then ' || turn AS note FROM {source_sql('conversations')}")
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(lang, '') AS lang, nullif(source, '') AS source, CAST(n_chars AS VARCHAR) AS n_chars, nullif(text, '') AS text FROM documents")
 def delimited_spanning_values(spark, sf_dir):
-    """Tab-separated rows with a quoted value over two lines."""
-    return exported(spark, sf_dir)["tables"]["talk_tsv"]
+    """Whole documents as tab-separated files whose quoted texts span lines."""
+    folder = fresh_path(spark)
+    stored(spark, folder, "docs", texts(spark, sf_dir, "documents")["documents"], "tsv", sep="\t", **QUOTED)
+    return together(delimited.read_folder(spark, folder), "docs").select("doc_id", "lang", "source", "n_chars", "text")
 
 
-@query(f"SELECT c_custkey AS column_1, c_nationkey AS column_2, c_acctbal AS column_3 FROM {source_sql('customer')}")
-def delimited_without_header(spark, sf_dir):
-    return exported(spark, sf_dir)["tables"]["people_psv"]
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, nullif(role, '') AS role, nullif(text, '') AS text FROM conversations")
+def delimited_utf16(spark, sf_dir):
+    """Conversations in an encoding whose line ends have two bytes."""
+    folder = fresh_path(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("CAST(conv_id AS STRING) AS conv_id", "CAST(turn AS STRING) AS turn", "role", "text")
+    stored(spark, folder, "talk", rows, "csv", encoding="UTF-16", **QUOTED)
+    return together(delimited.read_folder(spark, folder), "talk")
 
 
-@query("SELECT * FROM (VALUES ('orders.csv', 'csv', true), ('people.psv', 'csv', true), ('talk.tsv', 'csv', true)) t(rel, kind, read)")
-def discovered_files(spark, sf_dir):
-    return exported(spark, sf_dir)["files"].select("rel", "kind", F.col("skip_reason").isNull().alias("read"))
+def nameless_parts(spark: SparkSession, sf_dir: str) -> dict:
+    folder = fresh_path(spark)
+    stored(spark, folder, "part", texts(spark, sf_dir, "part")["part"], "psv", sep="|")
+    return delimited.read_folder(spark, folder)
 
 
-@query("SELECT 'people_psv' AS \"table\", 'csv.no_header' AS code")
+@query("SELECT " + ", ".join(f"{c} AS column_{i}" for i, c in enumerate(INPUTS["part"], 1)) + f" FROM {source_sql('part')}")
+def delimited_without_header(spark, sf_dir):
+    return together(nameless_parts(spark, sf_dir), "part")
+
+
+@query(f"SELECT 'csv.no_header' AS code, count(*) AS rows FROM {source_sql('part')}")
 def file_notes(spark, sf_dir):
-    """What the readers noted about the headers of the three files."""
-    return exported(spark, sf_dir)["notes"].where("code LIKE 'csv.%header%'").select("table", "code")
+    """Notes on the headers of files, and the rows of the files they are about."""
+    read = nameless_parts(spark, sf_dir)
+    sizes = together({"tables": {n: df.select(F.lit(n).alias("table")) for n, df in read["tables"].items()}}, "part").groupBy("table").count()
+    return read["notes"].where("code LIKE 'csv.%header%'").join(sizes, "table").groupBy("code").agg(F.sum("count").alias("rows"))
+
+
+@query("SELECT 'folder' AS kind, 'hidden' AS skip_reason, CAST(NULL AS BIGINT) AS rows UNION ALL SELECT 'csv', 'empty file', NULL UNION ALL SELECT 'excel', 'a lock file of an open workbook', NULL UNION ALL SELECT 'other', NULL, NULL "
+       f"UNION ALL SELECT 'csv', NULL, count(*) FROM {source_sql('supplier')}")
+def discovered_files(spark, sf_dir):
+    """Every entry of a folder: files that are read, with their rows, one of them under a name that Spark's readers leave out, and the others with a reason."""
+    folder, at = fresh_path(spark), spark._jvm.org.apache.hadoop.fs.Path
+    stored(spark, folder, "supplier", texts(spark, sf_dir, "supplier")["supplier"], "csv", header="true")
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(at(f"{folder}/supplier_0.csv"), at(f"{folder}/_supplier_0.csv"))
+    for name in ("empty.csv", "~$open.xlsx", "notes.md"):
+        fs.create(at(f"{folder}/{name}")).close()
+    read = delimited.read_folder(spark, folder)
+    rows = together(read, "supplier").count()
+    files = read["files"].where("rel NOT LIKE '%.crc'").groupBy("kind", "skip_reason").agg(F.count("*").alias("files"))
+    return files.select("kind", "skip_reason", F.when((F.col("kind") == "csv") & F.col("skip_reason").isNull(), F.lit(rows)).cast("long").alias("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import predicates as P
 from ..operators.histogram import as_text
 
 
@@ -15,5 +16,5 @@ def read_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
 def registered(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables, also as temporary views of their names, which evidence queries select from."""
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(P.ident(name))
     return tables

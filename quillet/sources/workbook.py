@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import listing
 from .delimited import column_names
 
 HEADER_ROWS = 100
@@ -129,7 +130,7 @@ def _decode(batches):
 
 
 def cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(_decode, CELLS)
+    return spark.read.format("binaryFile").load([listing.for_reader(p) for p in paths]).select(listing.of_metadata_column(F.col("path")).alias("path"), "content").mapInPandas(_decode, CELLS)
 
 
 SHEET = ["path", "sheet", "sheet_no"]
