@@ -42,8 +42,10 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "person": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30}){0,2}",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|\bgh[opsur]_[0-9A-Za-z]{36,64}|\bxox[abprs]-[0-9A-Za-z-]{10,72}|\bsk-[0-9A-Za-z_-]{20,64}|\beyJ[0-9A-Za-z_-]{10,500}\.[0-9A-Za-z_-]{10,500}\.[0-9A-Za-z_-]{10,500}"
-              r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\x22']?[\x20]?[:=]{1,2}[\x20]?[\x22']?)[0-9A-Za-z+/_.~-]{8,200}",
+    # tokens run to their end, whatever their length; a key's block runs to its END line, or as far as its characters are base64's
+    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|\bgh[opsur]_[0-9A-Za-z]{36,}+|\bxox[abprs]-[0-9A-Za-z-]{10,}+|\bsk-[0-9A-Za-z_-]{20,}+|\beyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+"
+              r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\r\n]++(?:Proc-Type|DEK-Info): [^\r\n]++){0,4}+[0-9A-Za-z+/=\r\n]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+              r"|(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\x22']?[\x20]?[:=]{1,2}[\x20]?[\x22']?)[0-9A-Za-z+/_.~-]{8,}+",
 }
 # A cheap test that holds whenever the pattern matches anywhere.
 HINTS = {

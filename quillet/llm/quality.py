@@ -75,7 +75,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, i
     marks = materialize(marks)
     r = marks.agg(F.count("*").alias("n"), F.avg(F.col("quality").cast("double")).alias("good")).first()
     good = marks.where("quality = 1").select("marked_id", F.lit(True).alias("target"))  # at most LABELLED_ROWS ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("marked_id"), "left")
+    same = F.col("doc_id") == F.col("marked_id") if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType else F.col("doc_id").cast("string") == F.col("marked_id").cast("string")
+    rows = docs.select("doc_id", "text").join(F.broadcast(good), same, "left")
     counted = rows.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count, "model int, bucket int, n long")
     n = np.zeros((2, BUCKETS))
     for row in counted.groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 * BUCKETS rows
@@ -98,8 +99,10 @@ def scorer(ratios: np.ndarray):
 _WORKER: dict[str, Hasher] = {}
 
 
-def gumbel(*ids: Column) -> Column:
-    return -F.log(-F.log(unit_hash(F.lit(SEED), *ids)))
+def gumbel(doc_id: Column, kind: str) -> Column:
+    """Noise of a row, by its id alone; kind is the id's type. Rows without an id share one draw."""
+    known = F.coalesce(doc_id, F.lit(-1)) if kind in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null"))
+    return -F.log(-F.log(unit_hash(F.lit(SEED), known)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -138,22 +141,26 @@ def importance_resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     selected: the key is among the k largest, k being the rows times the share of good rows among the labelled
     (its upper confidence end, so that good rows are kept); rows equal to the k-th key are all selected. Null and
-    empty texts weigh 0; rows with the same id and text get the same key. Labels that are null are left out, an id
+    empty texts weigh 0, texts of any length are counted and scored whole; rows with the same id and text get the same
+    key. Ids may be numbers or texts; if the tables' differ in type, they are compared as texts. Labels that are null are left out, an id
     with several labels counts as its highest; without any label, or a good one, all weights are 0 and all rows are
     selected. No rows give no rows; further columns of either table are ignored.
     """
     ratios, good, labelled = log_ratios(docs, labels)
     scored = docs.select("doc_id", scorer(ratios)(F.col("text")).alias("log_weight"))
-    scored = materialize(scored.withColumn("key", F.col("log_weight") + gumbel(F.coalesce(F.col("doc_id"), F.lit(-1)))).withColumn("ord", F.floor(F.col("key") * STEP)))
+    scored = materialize(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), dict(docs.dtypes)["doc_id"])).withColumn("ord", F.floor(F.col("key") * STEP)))
     least = kth_largest(scored, "ord", _kept_rows(scored.count(), good, labelled))
     return scored.select("doc_id", "log_weight", "key", (F.col("ord") >= F.lit(least if least is not None else 0)).alias("selected"))
 
 
 def selected_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that importance_resample selects, with their columns; scored again rather than joined."""
+    """The rows of docs that importance_resample selects, with their columns.
+
+    Each row is scored once and written with its key; only the keys are read to find the least one that stays.
+    """
     ratios, good, labelled = log_ratios(docs, labels)
-    key = scorer(ratios)(F.col("text")) + gumbel(F.coalesce(F.col("doc_id"), F.lit(-1)))
     name = free_name(docs.columns, "ord")
-    keys = materialize(docs.select(F.floor(key * STEP).alias("ord")))
+    scored = materialize(docs.withColumn(name, F.floor((scorer(ratios)(F.col("text")) + gumbel(F.col("doc_id"), dict(docs.dtypes)["doc_id"])) * STEP)))
+    keys = scored.select(F.col(name).alias("ord"))
     least = kth_largest(keys, "ord", _kept_rows(keys.count(), good, labelled))
-    return docs.withColumn(name, F.floor(key * STEP)).where(F.col(name) >= F.lit(least if least is not None else 0)).select(*docs.columns)
+    return scored.where(F.col(name) >= F.lit(least if least is not None else 0)).select(*docs.columns)
