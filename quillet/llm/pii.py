@@ -58,7 +58,7 @@ HINTS = {
     "national_id": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     "person": lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}"),
-    "secret": lambda t: t.rlike(r"A[KS]IA[0-9A-Z]|gh[opsur]_|xox[abprs]-|sk-|eyJ|PRIVATE KEY|(?i:token|secret|passw|pwd|key)[\x22']?[\x20]?[:=]"),
+    "secret": lambda t: t.rlike(r"A[KS]IA[0-9A-Z]|gh[opsur]_|xox[abprs]-|sk-|eyJ|PRIVATE KEY|(?i:token|secret|password|passwd|pwd|key)[\x22']?[\x20]?[:=]"),
 }
 
 # Gazetteers and cue words.
