@@ -201,19 +201,24 @@ def _listed(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(*KEY).agg(F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"), x["share"].alias("share"))).alias(name))
 
 
-def profile(tables: dict[str, DataFrame], audit_time: datetime, h: DataFrame | None = None) -> DataFrame:
+#: The parts of a profile beside its counts, each a further aggregation of the histogram.
+PARTS = ("sentinels", "shapes", "top_values", "numeric", "temporal")
+
+
+def profile(tables: dict[str, DataFrame], audit_time: datetime, h: DataFrame | None = None, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """One row per column of text tables: counts, inferred kind, sentinels, shapes, top values, numbers and dates.
 
-    Columns of tables without rows are there with total 0 and kind empty. min_value, max_value and top_values are raw
+    Only the parts that are asked for are measured and there. Columns of tables without rows are there with total 0 and kind empty. min_value, max_value and top_values are raw
     cell contents: drop them (withheld) before showing the profile to others.
     """
     h = histogram(tables).persist() if h is None else h
     spark = h.sparkSession
     named = spark.createDataFrame(columns_of(tables), "table string, ordinal int, column string, original string")
     out = F.broadcast(named).join(inferred(counts(h)).drop("ordinal"), KEY, "left")  # a row per column
-    for part in (_listed(sentinels(h), "sentinels"), _listed(shapes(h), "shapes"), _listed(top_values(h), "top_values"),
-                 _nested(numeric_detail(h), "numeric"), _nested(temporal_detail(h, audit_time), "temporal")):
-        out = out.join(part, KEY, "left")
+    measured = {"sentinels": lambda: _listed(sentinels(h), "sentinels"), "shapes": lambda: _listed(shapes(h), "shapes"), "top_values": lambda: _listed(top_values(h), "top_values"),
+                "numeric": lambda: _nested(numeric_detail(h), "numeric"), "temporal": lambda: _nested(temporal_detail(h, audit_time), "temporal")}
+    for part in parts:
+        out = out.join(measured[part](), KEY, "left")
     zero = [c for c, t in out.dtypes if t in ("bigint", "int", "double") and c not in ("ordinal",)]
     out = out.fillna(0, zero).fillna({"kind": "empty"})
     missing = F.col("nulls") + F.col("blanks") + F.col("sentinel_hits") + F.col("numeric_sentinel_hits")
@@ -222,4 +227,5 @@ def profile(tables: dict[str, DataFrame], audit_time: datetime, h: DataFrame | N
 
 def withheld(profiled: DataFrame) -> DataFrame:
     """The profile without cell contents: no top values, no extremes, no earliest and latest dates."""
-    return profiled.drop("top_values", "min_value", "max_value").withColumn("temporal", F.col("temporal").dropFields("min", "max"))
+    kept = profiled.drop("top_values", "min_value", "max_value")
+    return kept.withColumn("temporal", F.col("temporal").dropFields("min", "max")) if "temporal" in kept.columns else kept

@@ -12,7 +12,7 @@ from quillet.functions import predicates as P
 from quillet.operators import adhoc, checks, findings, relate, rules, score
 from quillet.operators import profile as prof
 from quillet.operators.histogram import histogram
-from quillet.plans import audit_queries
+from quillet.plans import audit_queries, record_queries  # noqa: F401  the second registers queries, too
 from quillet.plans.audit import audit, audit_folder, write_report
 from quillet.sources import delimited
 from quillet.sources.tables import registered
