@@ -1,4 +1,4 @@
-"""Workbooks: cells are read one workbook per task; headers, tables and notes are DataFrame work."""
+"""Workbooks: cells are read one workbook per task, as they stream by; headers, tables and notes are DataFrame work."""
 
 from __future__ import annotations
 
@@ -6,18 +6,26 @@ import io
 import re
 import zipfile
 import zlib
+from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as afs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import listing
 from .delimited import column_names
+from .sheets import Cells, Strings, merged_ranges
+from .written import written
 
 HEADER_ROWS = 100
+#: Cells that leave a task together.
+BATCH = 8192
 # The error texts of spreadsheet formulas.
 FORMULA_ERRORS = ("#REF!", "#DIV/0!", "#VALUE!", "#NAME?", "#N/A", "#NULL!", "#NUM!", "#SPILL!", "#CALC!")
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -26,14 +34,7 @@ CELLS = "path string, sheet string, sheet_no int, sheet_hidden boolean, row int,
 
 
 #: What a damaged workbook or sheet makes the readers say.
-BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, ElementTree.ParseError, KeyError, IndexError, ValueError, AttributeError, TypeError, EOFError, NotImplementedError, RuntimeError)
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n
+BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, ElementTree.ParseError, expat.ExpatError, OSError, KeyError, IndexError, ValueError, AttributeError, TypeError, EOFError, NotImplementedError, RuntimeError)
 
 
 # Numbers of the built-in formats that show dates, times, or both.
@@ -69,68 +70,103 @@ def date_text(serial: str, kind: str, from_1904: bool) -> str:
     return f"{moment:%Y-%m-%d}" if days == int(days) else f"{moment:%Y-%m-%d %H:%M:%S}"
 
 
-def _text(cell, strings: list[str], styles: list[str], from_1904: bool) -> str | None:
-    kind, v = cell.get("t", "n"), cell.find(f"{_NS}v")
-    style = int(cell.get("s", "0"))
-    if kind == "n" and v is not None and v.text and style < len(styles) and styles[style]:
-        return date_text(v.text, styles[style], from_1904)
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
-    if v is None or v.text is None:
-        return None
-    if kind == "s":
-        return strings[int(v.text)]
-    return {"1": "TRUE", "0": "FALSE"}.get(v.text, v.text) if kind == "b" else v.text
-
-
-def workbook_cells(path: str, content: bytes):
-    """Rows of CELLS of one workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            strings = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_NS}si")]
+def written_value(strings: Strings, styles: list[str], from_1904: bool):
+    """What makes a text of a cell's type, style and written value; None where it has none."""
+    def text(kind: str, style: str, value: str | None) -> str | None:
+        if not value:
+            return None
+        if kind == "s":
+            return strings[int(value)]
+        if kind == "b":
+            return {"1": "TRUE", "0": "FALSE"}.get(value, value)
+        if kind == "n" and int(style) < len(styles) and styles[int(style)]:
+            return date_text(value, styles[int(style)], from_1904)
+        return value
+
+    return text
+
+
+def workbook_cells(path: str, file) -> Iterator[tuple]:
+    """Rows of CELLS of one workbook, from a seekable file. A sheet that breaks off, whenever, has a row 0 that says why.
+
+    In memory are the shared strings' bytes, four numbers a merged range, and a chunk of a sheet.
+    """
+    with zipfile.ZipFile(file) as z:
+        names = set(z.namelist())
+        strings = Strings()
+        if "xl/sharedStrings.xml" in names:
+            with z.open("xl/sharedStrings.xml") as part:
+                strings = Strings(part)
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        styles = date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in z.namelist() else None)
+        styles = date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         from_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_NS}workbookPr"))
         for no, sheet in enumerate(book.iter(f"{_NS}sheet")):
+            name, hidden = sheet.get("name"), sheet.get("state", "visible") != "visible"
             try:
-                own = list(_sheet_cells(z, rels, sheet, strings, styles, from_1904))
+                target = rels[sheet.get(_REL)].lstrip("/")
+                target = target if target.startswith("xl/") else f"xl/{target}"
+                with z.open(target) as part:
+                    merged = merged_ranges(part)
+                with z.open(target) as part:
+                    for cell in Cells(part, merged, written_value(strings, styles, from_1904)):
+                        yield (path, name, no, hidden, *cell)
             except BROKEN as e:
-                yield (path, sheet.get("name"), no, False, 0, 0, str(e) or type(e).__name__, False, False)
-                continue
-            yield from ((path, sheet.get("name"), no, sheet.get("state", "visible") != "visible", *x) for x in own)
-
-
-def _sheet_cells(z, rels, sheet, strings, styles, from_1904):
-    """(row, col, value, row_hidden, merged) of one sheet's cells."""
-    target = rels[sheet.get(_REL)].lstrip("/")
-    root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-    merged = []
-    for m in root.iter(f"{_NS}mergeCell"):
-        a, _, b = m.get("ref").partition(":")
-        merged.append((_column(a), int(re.sub(r"\D", "", a)), _column(b or a), int(re.sub(r"\D", "", b or a))))
-    for row in root.iter(f"{_NS}row"):
-        for cell in row.findall(f"{_NS}c"):
-            value, ref = _text(cell, strings, styles, from_1904), cell.get("r")
-            r, c = int(re.sub(r"\D", "", ref)), _column(ref)
-            if value is not None and value != "":
-                yield (r, c, value, row.get("hidden") == "1", any(x1 <= c <= x2 and y1 <= r <= y2 for x1, y1, x2, y2 in merged))
-
-
-def _decode(batches):
-    names = [c.split()[0] for c in CELLS.split(", ")]
-    for files in batches:
-        for path, content in zip(files["path"], files["content"]):
+                yield (path, name, no, False, 0, 0, str(e) or type(e).__name__, False, False)
+
+
+_TYPES = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("sheet_no", pa.int32()), ("sheet_hidden", pa.bool_()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.string()), ("row_hidden", pa.bool_()), ("merged", pa.bool_())])
+
+
+def _batches(path: str, file) -> Iterator[pa.RecordBatch]:
+    cells = workbook_cells(path, file)
+    while True:
+        rows = []
+        try:
+            rows.extend(islice(cells, BATCH))
+            over = len(rows) < BATCH
+        except BROKEN as e:
+            rows.append((path, None, -1, False, 0, 0, str(e) or type(e).__name__, False, False))
+            over = True
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.types)], schema=_TYPES)
+        if over:
+            return
+
+
+def _of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
             try:
-                rows = list(workbook_cells(path, bytes(content)))
-            except BROKEN as e:
-                rows = [(path, None, -1, False, 0, 0, str(e) or type(e).__name__, False, False)]
-            yield pd.DataFrame(rows, columns=names).astype({"sheet_no": "int32", "row": "int32", "col": "int32"})
+                file = listing.opened(path)
+            except OSError as e:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, None, -1, False, 0, 0, e.strerror or str(e), False, False), _TYPES.types)], schema=_TYPES)
+                continue
+            with file:
+                yield from _batches(path, file)
+
+
+def _of_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            yield from _batches(path.as_py(), io.BytesIO(content.as_buffer()))
+
+
+def _known(path: str) -> bool:
+    try:
+        return path.startswith("file:") or afs.FileSystem.from_uri(path) is not None
+    except Exception:  # noqa: BLE001  whatever it says, Hadoop's file systems are asked next
+        return False
 
 
 def cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load([listing.for_reader(p) for p in paths]).select(listing.of_metadata_column(F.col("path")).alias("path"), "content").mapInPandas(_decode, CELLS)
+    """CELLS of workbooks, a task each: files are opened where they lie; whole ones come through Spark's reader where only Hadoop knows the file system."""
+    own = [p for p in paths if _known(p)]
+    found = spark.createDataFrame([(p,) for p in own], "path string").repartition(max(1, len(own))).mapInArrow(_of_paths, CELLS)
+    if len(own) < len(paths):
+        far = spark.read.format("binaryFile").load([listing.for_reader(p) for p in paths if p not in set(own)])
+        found = found.unionByName(far.select(listing.of_metadata_column(F.col("path")).alias("path"), "content").mapInArrow(_of_contents, CELLS))
+    return found
 
 
 SHEET = ["path", "sheet", "sheet_no"]
@@ -193,10 +229,11 @@ def read_workbooks(spark: SparkSession, files: DataFrame) -> tuple[dict[str, Dat
     books = {r["path"]: r["rel"] for r in files.where("kind = 'excel' AND skip_reason IS NULL").collect()}
     if not books:
         return {}, []
-    told = cells(spark, list(books)).persist()
-    good = told.where("row > 0")
-    headers = header_rows(good).persist()
+    told = written(cells(spark, list(books)))
+    faults = told.where("row = 0").collect()  # a row per workbook or sheet that breaks off; nothing of it is taken for whole
+    good = told.where("row > 0").join(F.broadcast(told.where("row = 0 AND sheet IS NOT NULL").select("path", "sheet_no").distinct()), ["path", "sheet_no"], "left_anti")
+    headers = written(header_rows(good))
     place = lambda r: books[r["path"]] + (f"_{r['sheet']}" if r["sheet"] is not None else "")
     tables = {place(h): sheet_table(good, h["path"], h["sheet"], h["header"], h["width"]) for h in headers.collect()}
-    broken = [(place(r), "excel.sheet_unreadable", f"it could not be read: {r['value']}") for r in told.where("row = 0").collect()]
+    broken = [(place(r), "excel.sheet_unreadable", f"it could not be read: {r['value']}") for r in faults]
     return tables, broken + [(place(n), n["code"], n["message"]) for n in sheet_notes(good, headers).collect()]
