@@ -17,6 +17,8 @@ SHAPES, SHAPE_CUT, TOP_VALUES = 8, 60, 10
 SIGMA = 6.0
 EARLIEST = "1900-01-02"
 QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+#: Distinct numbers of a column that one task may order, and ranges (a power of two) that more of them are cut into.
+ORDERED, RANGES = 200_000, 64
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -116,33 +118,37 @@ def sentinels(h: DataFrame) -> DataFrame:
     return hits.join(total, KEY).select(*KEY, "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def _cuts() -> list[Column]:
-    """Approximate bounds of 64 ranges of x, and the number of rows."""
-    return [F.percentile_approx("x", F.lit([i / 64 for i in range(1, 64)]), F.lit(2000)).alias("cuts"), F.sum("n").alias("whole")]
+def quantiles(x: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Exact interpolated quartiles of (table, column, x, n), x distinct in a column; no task orders more than ORDERED values about.
 
-
-def quantiles(x: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
-    """Exact interpolated quartiles of (table, column, x, n), without one task per column.
-
-    Approximate bounds cut each column into 64 ranges; the ranges' counts tell which of them hold the wanted ranks,
-    and only those are ordered.
+    A column with more values is cut at approximate bounds into RANGES ranges; their counts tell which of them hold the
+    wanted ranks, and those are cut again until they are small. Only what is left is ordered. sizes holds each
+    column's whole (sum of n) and values (rows), if they are known.
     """
-    # settled: approximate bounds may differ from one evaluation to the next
-    cuts = settled(x.groupBy(*KEY).agg(*_cuts())) if cuts is None else cuts
-    x = x.join(F.broadcast(cuts), KEY).withColumn("cut", F.lit(0))
-    for step in (32, 16, 8, 4, 2, 1):  # binary search for the number of cuts below x
-        x = x.withColumn("cut", F.col("cut") + F.when(F.get("cuts", F.col("cut") + step - 1) < F.col("x"), step).otherwise(0))
-    x = x.drop("cuts")
-    sums = x.groupBy(*KEY, "cut", "whole").agg(F.sum("n").alias("inside"))
-    before = F.sum("inside").over(Window.partitionBy(*KEY).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
+    sizes = settled(x.groupBy(*KEY).agg(F.sum("n").alias("whole"), F.count("*").alias("values"))) if sizes is None else sizes
     at = {q: F.lit(p) * (F.col("whole") - 1) for q, p in QUANTILES.items()}
     wanted = [e for a in at.values() for e in (F.floor(a), F.ceil(a))]
     holds = F.lit(False)
     for w in wanted:
         holds = holds | ((w >= F.col("before")) & (w < F.col("before") + F.col("inside")))
-    few = x.drop("whole").join(_per_column(sums.where(holds)), [*KEY, "cut"])  # six ranges a column at most
-    upto = F.sum("n").over(Window.partitionBy(*KEY, "cut").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = settled(sizes.select(*KEY, F.lit(0).cast("long").alias("part"), "whole", F.lit(0).cast("long").alias("before"), "values"))
+    x = x.select(*KEY, F.lit(0).cast("long").alias("part"), "x", "n")
+    bounds = F.percentile_approx("x", F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(2000))
+    while not (large := ranges.where(F.col("values") > ORDERED)).isEmpty():
+        told = x.join(F.broadcast(large.select(*KEY, "part")), [*KEY, "part"]).groupBy(*KEY, "part").agg(bounds.alias("bounds"))
+        # settled: approximate bounds may differ from one evaluation to the next
+        cuts = settled(ranges.join(told, [*KEY, "part"], "left").select(*KEY, "part", "whole", F.col("before").alias("start"), F.coalesce("bounds", F.array().cast("array<double>")).alias("bounds")))
+        x = x.join(F.broadcast(cuts), [*KEY, "part"]).withColumn("cut", F.lit(0))
+        for step in (1 << i for i in reversed(range(RANGES.bit_length() - 1))):  # binary search for the number of bounds below x
+            x = x.withColumn("cut", F.col("cut") + F.when(F.get("bounds", F.col("cut") + step - 1) < F.col("x"), step).otherwise(0))
+        x = x.drop("bounds").withColumn("own", F.col("part") * RANGES + F.col("cut"))
+        sums = x.groupBy(*KEY, "part", "own", "whole", "start").agg(F.sum("n").alias("inside"), F.count("*").alias("values"))
+        below = F.sum("inside").over(Window.partitionBy(*KEY, "part").orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(below, F.lit(0)))
+        ranges = settled(sums.where(holds).select(*KEY, F.col("own").alias("part"), "whole", "before", "values"))  # six a column at most
+        x = x.select(*KEY, F.col("own").alias("part"), "x", "n").join(F.broadcast(ranges.select(*KEY, "part")), [*KEY, "part"])
+    few = x.join(F.broadcast(ranges), [*KEY, "part"])
+    upto = F.sum("n").over(Window.partitionBy(*KEY, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     few = few.withColumn("stop", F.col("before") + upto).withColumn("start", F.col("stop") - F.col("n"))
 
     def value(rank: Column) -> Column:
@@ -157,15 +163,15 @@ def numeric_detail(h: DataFrame) -> DataFrame:
     x = h.where(P.non_blank("value")).select(*KEY, F.expr(P.number("value")).alias("x"), "n").where("x IS NOT NULL")
     x = x.groupBy(*KEY, "x").agg(F.sum("n").alias("n")).persist()
     first = x.groupBy(*KEY).agg(F.sum("n").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
-                                _sum("x < 0").alias("negative"), _sum("x = 0").alias("zero"), *_cuts())
+                                _sum("x < 0").alias("negative"), _sum("x = 0").alias("zero"), F.count("*").alias("values"))
     first = settled(first)
-    cuts, first = first.select(*KEY, "cuts", "whole"), first.drop("cuts", "whole")
+    sizes, first = first.select(*KEY, F.col("count").alias("whole"), "values"), first.drop("values")
     spread = x.join(F.broadcast(first.select(*KEY, "mean", "count")), KEY).groupBy(*KEY).agg(
         F.sqrt(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)) / F.first(F.nullif(F.col("count") - 1, F.lit(0)))).alias("stddev"))
     stats = settled(F.broadcast(first).join(spread, KEY).withColumn("stddev", F.coalesce("stddev", F.lit(0.0))))
     far = x.join(F.broadcast(stats.select(*KEY, "mean", "stddev", "count")), KEY).groupBy(*KEY).agg(
         _sum(f"stddev > 0 AND count > 2 AND abs(x - mean) > {SIGMA} * stddev").alias("outliers"))
-    out = settled(F.broadcast(stats).join(far, KEY).join(quantiles(x, cuts), KEY))
+    out = settled(F.broadcast(stats).join(far, KEY).join(quantiles(x, sizes), KEY))
     x.unpersist()
     return out
 
