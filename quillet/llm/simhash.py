@@ -18,7 +18,7 @@ from .blocks import with_block_pairs
 from .components import components
 from .runs import whole_runs
 from .shingles import SHINGLE as SHINGLES
-from .shingles import SIMILARITY, candidates, shingle_set, shingles_of, signature, similar
+from .shingles import SIMILARITY, binned, candidates, remaining, shingle_set, shingles_of, signature, similar
 from .util import discard, free_name, materialize
 
 SHINGLE = 4
@@ -140,14 +140,15 @@ def _labelled(own: DataFrame) -> DataFrame:
 
 
 def _signed(shingle: int):
-    """Per row (id, own, text): id, own, fingerprint, MinHash keys and sketch, from one look at the text."""
+    """Per row (id, own, text): id, own, fingerprint, MinHash keys and sketch, size and bins of its shingles, from one look at the text."""
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fps = np.fromiter(map(fingerprint_of, texts), np.uint64, len(texts)).view(np.int64)
-            keys, sketch = zip(*(signature(shingle_set(t, shingle)) for t in texts)) if texts else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                                             names=["id", "own", "fp", "keys", "sketch"])
+            told = [(*signature(h), len(h), binned(h)) for h in (shingle_set(t, shingle) for t in texts)]
+            keys, sketch, n, bins = zip(*told) if told else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(n, pa.int64()), pa.array(bins, pa.binary())],
+                                             names=["id", "own", "fp", "keys", "sketch", "n", "bins"])
     return run
 
 
@@ -155,25 +156,27 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLES, similarity: float
     """docs with one row of each component of near copies: that of the least doc_id; columns as they were.
 
     Near copies are texts within MAX_BITS bits, as in simhash_components; then, among those that stay, texts whose
-    sets of shingle words have an exact Jaccard similarity of at least similarity (pairs are found by MinHash, see
-    shingles.py). What is compared are distinct texts, so two texts under one doc_id are told apart and both stay if
+    sets of shingle words have an exact Jaccard similarity of at least similarity (all pairs that share a MinHash key
+    are decided, see shingles.py). What is compared are distinct texts, so two texts under one doc_id are told apart and both stay if
     they differ. Null and blank texts are near copies of each other. Rows without a doc_id stay; rows that repeat
     doc_id and text of the kept one are reduced to one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
-    signed = text.mapInArrow(_signed(shingle), f"id {kind}, own long, fp long, keys array<long>, sketch binary")
-    texts = materialize(signed.groupBy("own").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    signed = text.mapInArrow(_signed(shingle), f"id {kind}, own long, fp long, keys array<long>, sketch binary, n long, bins binary")
+    texts = materialize(signed.groupBy("own").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in ("sketch", "n", "bins")]))
     roots = components(fingerprint_links(texts.select("fp").distinct()))
     named = texts.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first", "own")
     least = named.groupBy("root").agg(F.min(F.struct("first", "own")).alias("f")).select(F.col("f.own").alias("id"))
-    kept = materialize(texts.withColumnRenamed("own", "id").join(least, "id", "left_semi").select("id", "first", "keys", "sketch"))
+    kept = materialize(texts.withColumnRenamed("own", "id").join(least, "id", "left_semi").select("id", "first", "keys", "sketch", "n", "bins"))
     discard(texts)
     pairs = materialize(candidates(kept))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct().join(kept.select(F.col("id").alias("own"), F.col("first").alias("id")), "own")
     sets = text.join(asked, ["id", "own"], "left_semi").dropDuplicates(["own"]).select(F.col("own").alias("id"), shingles_of(F.col("text"), shingle).alias("shingles"))
     sets = materialize(sets)
-    roots = components(similar(pairs, sets, similarity))
+    links = materialize(similar(pairs, sets, similarity))
+    more = materialize(similar(remaining(kept, pairs, components(links), similarity), sets, similarity))
+    roots = components(links.unionByName(more))
     discard(sets)
     one = kept.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(F.struct("first", "id")).alias("f"))
     of_id, of_text, own = (free_name(docs.columns, c) for c in ("kept_id", "kept_text", "own_text"))
