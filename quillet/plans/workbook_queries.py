@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import delimited, listing, workbook
-from ..sources.written import fresh_path
-from .audit_queries import INPUTS, query, source_sql, texts, together
+from ..sources.written import fresh_path, written
+from .audit_queries import INPUTS, query, source_sql, texts
 
 #: Keys of a workbook, so a sheet is as long at any size of the table, and the row of its header.
 KEYS, HEADER = 20_000, 3
@@ -65,10 +65,14 @@ def workbooks(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> workbook.Sheets:
+    return workbook.read_sheets(spark, delimited.discover(spark, workbooks(spark, sf_dir)))
+
+
 @query("SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in COLUMNS) + f" FROM {source_sql('orders')}")
 def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders out of workbooks, below the headers that are found in them."""
-    return together(delimited.read_folder(spark, workbooks(spark, sf_dir)), "orders")
+    return workbook.rows_together(sheets(spark, sf_dir), COLUMNS)
 
 
 _BOOKS = f"count(DISTINCT CAST(o_orderkey AS BIGINT) // {KEYS})"
@@ -79,7 +83,7 @@ _BOOKS = f"count(DISTINCT CAST(o_orderkey AS BIGINT) // {KEYS})"
        f"UNION ALL SELECT 'excel.ragged_rows', count(*) FROM {source_sql('orders')} WHERE coalesce({COLUMNS[-1]}, '') = '' HAVING count(*) > 0")
 def workbook_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is noted of the sheets' structure: the numbers in the notes, summed over the workbooks."""
-    notes = delimited.read_folder(spark, workbooks(spark, sf_dir))["notes"].where("code LIKE 'excel.%'")
+    notes = workbook.notes_together(sheets(spark, sf_dir))
     return notes.groupBy("code").agg(F.sum(F.regexp_extract("message", r"(\d+)", 1).cast("long")).alias("told"))
 
 
@@ -88,9 +92,9 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with a value per workbook, their rows, and where the header stands."""
     folder = workbooks(spark, sf_dir)
     files = delimited.discover(spark, folder).where("kind = 'excel' AND skip_reason IS NULL")
-    cells = workbook.cells(spark, [r["path"] for r in files.select("path").collect()])
-    heads = workbook.header_rows(cells)
-    each = cells.groupBy("path", "sheet", "sheet_no").agg(F.countDistinct("row").alias("rows"), F.count("*").alias("cells"))
+    sizes = written(workbook.row_sizes(workbook.cells(spark, [r["path"] for r in files.select("path").collect()])))  # workbooks are parsed once
+    heads = workbook.headers_of(sizes)
+    each = sizes.groupBy("path", "sheet", "sheet_no").agg(F.count("*").alias("rows"), F.sum("cells").alias("cells"))
     return each.join(heads, ["path", "sheet", "sheet_no"]).select(F.regexp_extract("path", r"_(\d+)\.xlsx$", 1).cast("long").alias("book"), "header", "width", "rows", "cells")
 
 

@@ -7,7 +7,9 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 from itertools import islice
 from xml.etree import ElementTree
 from xml.parsers import expat
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.predicates import ident
 from . import listing
 from .delimited import column_names
 from .sheets import Cells, Strings, merged_ranges
@@ -129,7 +132,10 @@ def _batches(path: str, file) -> Iterator[pa.RecordBatch]:
             rows.append((path, None, -1, False, 0, 0, str(e) or type(e).__name__, False, False))
             over = True
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.types)], schema=_TYPES)
+            # rows come sheet by sheet, so what stands in the first and the last of them stands in all
+            same = 4 if rows[0][:4] == rows[-1][:4] else 0
+            fixed = [pa.repeat(pa.scalar(v, t), len(rows)) for v, t in zip(rows[0][:same], _TYPES.types)]
+            yield pa.RecordBatch.from_arrays(fixed + [pa.array([r[i] for r in rows], _TYPES.types[i]) for i in range(same, len(_TYPES))], schema=_TYPES)
         if over:
             return
 
@@ -172,9 +178,19 @@ def cells(spark: SparkSession, paths: list[str]) -> DataFrame:
 SHEET = ["path", "sheet", "sheet_no"]
 
 
+def row_sizes(cells: DataFrame) -> DataFrame:
+    """(path, sheet, sheet_no, row, row_width, cells): a row per row of a sheet that has a value."""
+    return cells.groupBy(*SHEET, "row").agg(F.max("col").alias("row_width"), F.count("*").alias("cells"))
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """(path, sheet, sheet_no, header, width): the first of the first 100 rows that has 3/5 of the widest one's columns."""
-    rows = cells.groupBy(*SHEET, "row").agg(F.max("col").alias("row_width")).where(F.col("row") <= HEADER_ROWS)
+    return headers_of(row_sizes(cells.where(F.col("row") <= HEADER_ROWS)))
+
+
+def headers_of(sizes: DataFrame) -> DataFrame:
+    """header_rows() from row_sizes()."""
+    rows = sizes.where(F.col("row") <= HEADER_ROWS).select(*SHEET, "row", "row_width")
     widest = rows.withColumn("width", F.max("row_width").over(Window.partitionBy(*SHEET)))
     enough = F.when(F.col("width") < 3, F.lit(1)).otherwise(F.col("width") * 0.6)
     return widest.where(F.col("row_width") >= enough).groupBy(*SHEET).agg(F.min("row").alias("header"), F.max("width").alias("width"))
@@ -212,13 +228,77 @@ def sheet_notes(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return told.select(*SHEET, F.explode(F.filter(notes, lambda n: n.isNotNull())).alias("n")).select(*SHEET, "n.code", "n.message")
 
 
-def sheet_table(cells: DataFrame, path: str, sheet: str, header: int, width: int) -> DataFrame:
+@dataclass(frozen=True)
+class Sheets:
+    """What is read of workbooks: their cells (written), a header for each sheet (written), and what broke off.
+
+    named holds a sheet's (path, sheet, header, columns) in the order of headers.
+    """
+
+    books: dict[str, str]
+    cells: DataFrame
+    headers: DataFrame
+    named: list[tuple[str, str, int, tuple[tuple[str, str], ...]]]
+    faults: list[tuple[str, str | None, str]]
+
+    def place(self, path: str, sheet: str | None) -> str:
+        return self.books[path] + (f"_{sheet}" if sheet is not None else "")
+
+    def alike(self) -> list[tuple[tuple[tuple[str, str], ...], DataFrame]]:
+        """(columns, rows) of all sheets that have the same columns, as one frame: path, sheet and the columns by number, whatever the number of sheets."""
+        groups: dict[tuple, list[tuple[str, str, int]]] = {}
+        for path, sheet, header, columns in self.named:
+            groups.setdefault(columns, []).append((path, sheet, header))
+        spark = self.cells.sparkSession
+        out = []
+        for columns, some in groups.items():
+            own = self.cells.join(F.broadcast(spark.createDataFrame(some, "path string, sheet string, header int")), ["path", "sheet"]).where(F.col("row") > F.col("header"))  # a row per sheet
+            out.append((columns, own.groupBy("path", "sheet", "row").agg(*[F.first(F.when(F.col("col") == i, F.col("value")), True).alias(str(i)) for i in range(1, len(columns) + 1)]).drop("row")))
+        return out
+
+
+def _columns(wide: DataFrame, columns: tuple[tuple[str, str], ...]) -> DataFrame:
+    return wide.select(*[F.col(f"`{i}`").alias(n, metadata={"original": o}) for i, (n, o) in enumerate(columns, 1)])
+
+
+def sheet_table(cells: DataFrame, path: str, sheet: str, header: int, columns: tuple[tuple[str, str], ...]) -> DataFrame:
     """Rows below the header, one column per header cell, all text; blank rows are dropped."""
-    own = cells.where((F.col("path") == path) & (F.col("sheet") == sheet))
-    names = {r["col"]: r["value"] for r in own.where(F.col("row") == header).collect()}
-    named = column_names([names.get(i, "") for i in range(1, width + 1)])
-    wide = own.where(F.col("row") > header).groupBy("row").pivot("col", list(range(1, width + 1))).agg(F.first("value"))
-    return wide.select(*[F.col(f"`{i}`").alias(n, metadata={"original": o}) for i, (n, o) in enumerate(named, 1)])
+    own = cells.where((F.col("path") == path) & (F.col("sheet") == sheet) & (F.col("row") > header))
+    return _columns(own.groupBy("row").pivot("col", list(range(1, len(columns) + 1))).agg(F.first("value")), columns)
+
+
+def read_sheets(spark: SparkSession, files: DataFrame) -> Sheets | None:
+    """The sheets of the workbooks among discovered files, read once and together; headers of all of them are found by two jobs."""
+    books = {r["path"]: r["rel"] for r in files.where("kind = 'excel' AND skip_reason IS NULL").collect()}
+    if not books:
+        return None
+    told = written(cells(spark, list(books)))
+    faults = told.where("row = 0").collect()  # a row per workbook or sheet that breaks off; nothing of it is taken for whole
+    good = told.where("row > 0")
+    if faults:
+        good = good.join(F.broadcast(told.where("row = 0 AND sheet IS NOT NULL").select("path", "sheet_no").distinct()), ["path", "sheet_no"], "left_anti")
+    headers = written(header_rows(good))
+    at = good.join(F.broadcast(headers), SHEET).where(F.col("row") == F.col("header"))  # a row per sheet
+    found = headers.join(at.groupBy(*SHEET).agg(F.collect_list(F.struct("col", "value")).alias("names")), SHEET)
+    named = []
+    for r in found.orderBy("path", "sheet_no").collect():
+        names = {c["col"]: c["value"] for c in r["names"]}
+        named.append((r["path"], r["sheet"], r["header"], tuple(column_names([names.get(i, "") for i in range(1, r["width"] + 1)]))))
+    return Sheets(books, good, headers, named, [(r["path"], r["sheet"], r["value"]) for r in faults])
+
+
+def rows_together(sheets: Sheets, columns: list[str]) -> DataFrame:
+    """The rows of all sheets whose columns have these names, in one frame."""
+    fit = [_columns(rows, named) for named, rows in sheets.alike() if [n for n, _ in named] == columns]
+    none = sheets.cells.sparkSession.createDataFrame([], ", ".join(f"{ident(c)} string" for c in columns))
+    return reduce(DataFrame.unionByName, fit or [none])
+
+
+def notes_together(sheets: Sheets) -> DataFrame:
+    """(path, sheet, code, message) of all sheets, those that broke off among them."""
+    broken = [(path, sheet, "excel.sheet_unreadable", f"it could not be read: {why}") for path, sheet, why in sheets.faults]
+    return sheet_notes(sheets.cells, sheets.headers).select("path", "sheet", "code", "message").unionByName(
+        sheets.cells.sparkSession.createDataFrame(broken, "path string, sheet string, code string, message string"))
 
 
 def read_workbooks(spark: SparkSession, files: DataFrame) -> tuple[dict[str, DataFrame], list[tuple[str, str, str]]]:
@@ -226,14 +306,8 @@ def read_workbooks(spark: SparkSession, files: DataFrame) -> tuple[dict[str, Dat
 
     A workbook or sheet that cannot be read gets a note; the others are read.
     """
-    books = {r["path"]: r["rel"] for r in files.where("kind = 'excel' AND skip_reason IS NULL").collect()}
-    if not books:
+    sheets = read_sheets(spark, files)
+    if sheets is None:
         return {}, []
-    told = written(cells(spark, list(books)))
-    faults = told.where("row = 0").collect()  # a row per workbook or sheet that breaks off; nothing of it is taken for whole
-    good = told.where("row > 0").join(F.broadcast(told.where("row = 0 AND sheet IS NOT NULL").select("path", "sheet_no").distinct()), ["path", "sheet_no"], "left_anti")
-    headers = written(header_rows(good))
-    place = lambda r: books[r["path"]] + (f"_{r['sheet']}" if r["sheet"] is not None else "")
-    tables = {place(h): sheet_table(good, h["path"], h["sheet"], h["header"], h["width"]) for h in headers.collect()}
-    broken = [(place(r), "excel.sheet_unreadable", f"it could not be read: {r['value']}") for r in faults]
-    return tables, broken + [(place(n), n["code"], n["message"]) for n in sheet_notes(good, headers).collect()]
+    tables = {sheets.place(path, sheet): sheet_table(sheets.cells, path, sheet, header, columns) for path, sheet, header, columns in sheets.named}
+    return tables, [(sheets.place(n["path"], n["sheet"]), n["code"], n["message"]) for n in notes_together(sheets).collect()]

@@ -88,3 +88,34 @@ def test_queries(spark, name):
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr(list(r)) for r in cur.fetchall())
+
+
+def test_no_job_for_each_workbook(spark, tmp_path):
+    """Rows of many workbooks are one plan, and as many jobs find their headers as for few."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    jobs = []
+    for n in (2, 12):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for b in range(n):
+            with zipfile.ZipFile(folder / f"b{b}.xlsx", "w") as z:
+                z.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="{rel}"><sheets><sheet name="s" r:id="r0"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r0" Target="worksheets/s0.xml"/></Relationships>')
+                z.writestr("xl/worksheets/s0.xml", f'<worksheet {NS}><sheetData><row><c t="inlineStr"><is><t>k</t></is></c></row><row><c><v>{b}</v></c></row></sheetData></worksheet>')
+        spark.sparkContext.setJobGroup(f"books {n}", "")
+        found = workbook.read_sheets(spark, delimited.discover(spark, str(folder)))
+        assert sorted(r["k"] for r in workbook.rows_together(found, ["k"]).collect()) == sorted(str(b) for b in range(n))
+        assert workbook.rows_together(found, ["other"]).collect() == [] and workbook.notes_together(found).collect() == []
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"books {n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_merged_ranges_across_chunks(monkeypatch):
+    """Elements that chunks cut anywhere, and bytes in which names do not stand as they are written."""
+    text = '<?xml version="1.0" encoding="{}"?><worksheet><sheetData><row><c><v>1</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B2"/><mergeCell ref="D4"/></mergeCells></worksheet>'
+    for chunk in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(sheets, "CHUNK", chunk)
+        for encoding in ("utf-8", "utf-16") if chunk > 2 else ("utf-8",):
+            merged = sheets.merged_ranges(io.BytesIO(text.format(encoding).encode(encoding)))
+            assert list(merged.ranges) == [1, 2, 1, 2, 4, 4, 4, 4]
