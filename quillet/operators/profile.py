@@ -32,15 +32,19 @@ def _sum(condition: str) -> Column:
 
 
 def counts(h: DataFrame) -> DataFrame:
-    """Counts, lengths, padding and the tallies of each kind, one row per column that has rows."""
+    """Counts, lengths, padding and the tallies of each kind, one row per column that has rows.
+
+    Normalised values are told apart in an aggregation of their own, so that the tallies' many sums are not shuffled with each
+    of them. Both read the same columns of the histogram, which Spark therefore makes once.
+    """
     nb = P.non_blank("value")
-    return h.groupBy("table", "ordinal", "column").agg(
-        F.sum("n").alias("total"),
+    at = ["table", "ordinal", "column"]
+    forms = h.groupBy(*at, F.expr(P.normalized("value")).alias("form")).agg(F.sum("n").alias("n")).groupBy(*at).agg(F.sum("n").alias("total"), F.count("form").alias("distinct_normalized"))
+    tallies = h.groupBy(*at).agg(
         _sum("value IS NULL").alias("nulls"),
         _sum("trim(value) = ''").alias("blanks"),
         _sum(nb).alias("non_blank"),
         F.count("value").alias("distinct"),
-        F.countDistinct(F.expr(P.normalized("value"))).alias("distinct_normalized"),
         F.coalesce(F.min(F.length("value")), F.lit(0)).alias("min_length"),
         F.coalesce(F.max(F.length("value")), F.lit(0)).alias("max_length"),
         F.coalesce(F.try_divide(F.sum(F.length("value") * F.col("n")), _sum("value IS NOT NULL")), F.lit(0.0)).alias("avg_length"),
@@ -53,6 +57,7 @@ def counts(h: DataFrame) -> DataFrame:
         _sum(f"{nb} AND {P.is_numeric_sentinel('value')}").alias("numeric_sentinel_hits"),
         *[_sum(f"{nb} AND {P.OF_KIND[k]('value')}").alias(f"as_{k}") for k in P.KINDS],
     )
+    return tallies.join(F.broadcast(forms), at)  # a row per column
 
 
 def inferred(tallies: DataFrame) -> DataFrame:
