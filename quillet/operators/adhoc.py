@@ -76,7 +76,8 @@ def profile_column(profiled: DataFrame, table: str, column: str) -> DataFrame:
     """Everything measured on one column, without cell contents: shapes between brackets, placeholders as they are."""
     one = profiled.where((F.col("table") == table) & (F.col("column") == column)).drop("top_values", "min_value", "max_value")
     shown = F.transform("shapes", lambda s: s.withField("value", F.concat(F.lit("⟨"), s["value"], F.lit("⟩"))))
-    return one.withColumn("shapes", shown).withColumn("temporal", F.col("temporal").dropFields("min", "max"))
+    one = one.withColumn("shapes", shown)
+    return one.withColumn("temporal", F.col("temporal").dropFields("min", "max")) if "temporal" in one.columns else one
 
 
 def known_at(findings: DataFrame, table: str, column: str | None = None) -> DataFrame:

@@ -387,7 +387,7 @@ _PAST = "TIMESTAMP '1996-01-01 00:00:00'"
 def dates_in_the_future(spark, sf_dir):
     """Dates later than an audit that is set in 1996."""
     t = texts(spark, sf_dir, "orders", "lineitem")
-    found = checks.column_checks(prof.settled(prof.profile(t, PAST)), PAST).where("rule = 'column.future_dates'")
+    found = checks.column_checks(prof.settled(prof.profile(t, PAST, parts=("temporal",))), PAST).where("rule = 'column.future_dates'")
     return findings.verified(found).select("rule", "table", "column", "count")
 
 
@@ -399,7 +399,7 @@ FAR = datetime(1890, 1, 1)
 def implausible_dates(spark, sf_dir):
     """Dates more than a century after an audit that is set in 1890."""
     t = texts(spark, sf_dir, "orders")
-    found = checks.column_checks(prof.settled(prof.profile(t, FAR)), FAR).where("rule = 'column.implausible_dates'")
+    found = checks.column_checks(prof.settled(prof.profile(t, FAR, parts=("temporal",))), FAR).where("rule = 'column.implausible_dates'")
     return findings.verified(found).select("rule", "table", "column", "count")
 
 
@@ -509,8 +509,8 @@ def audit_findings(spark, sf_dir):
 ]))
 def check_findings(spark, sf_dir):
     t = texts(spark, sf_dir, "orders", "customer")
-    found = findings.verified(checks.column_checks(prof.settled(prof.profile(t, AUDIT_TIME)), AUDIT_TIME))
-    return found.where(F.col("rule").isin("column.whitespace_padding", "column.case_variants", "column.type_violation")).select("rule", "table", "column", "count")
+    found = checks.column_checks(prof.settled(prof.profile(t, AUDIT_TIME, parts=())), AUDIT_TIME)
+    return findings.verified(found.where(F.col("rule").isin("column.whitespace_padding", "column.case_variants", "column.type_violation"))).select("rule", "table", "column", "count")
 
 
 @query("SELECT CASE WHEN rule = 'cents_positive' THEN 1 ELSE 2 END AS severity, count(*) AS findings, sum(count)::BIGINT AS \"rows\" FROM (" + ORACLE_SQL["rule_violations"] + ") GROUP BY 1")

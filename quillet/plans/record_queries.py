@@ -195,7 +195,7 @@ def _part_sql(what: str, value: str, where: str, whole: str, shown: str) -> str:
               _part_sql("placeholder", "lower(trim(o_orderpriority))", f"lower(trim(o_orderpriority)) IN {d_list(P.TEXT_SENTINELS + P.NUMERIC_SENTINELS)}", "count(*)", "v")]))
 def profiled_column(spark, sf_dir):
     """The shapes and placeholders of one column, without its cells."""
-    one = adhoc.profile_column(prof.settled(prof.profile(texts(spark, sf_dir, "orders"), AUDIT_TIME)), "orders", "o_orderpriority")
+    one = adhoc.profile_column(prof.settled(prof.profile(texts(spark, sf_dir, "orders"), AUDIT_TIME, parts=("shapes", "sentinels"))), "orders", "o_orderpriority")
     parts = [one.select(F.lit(what).alias("what"), F.explode(c).alias("x")).select("what", "x.value", "x.count", F.round("x.share", 6).alias("share")) for what, c in (("shape", "shapes"), ("placeholder", "sentinels"))]
     return parts[0].union(parts[1])
 
