@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,6 +213,12 @@ def _listed(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(*KEY).agg(F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"), x["share"].alias("share"))).alias(name))
 
 
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, total, is_unique: not measured, null) of each table that has columns: what table checks of rows and notes read of a profile, without one."""
+    each = [df.agg(F.count("*").alias("total")).select(F.lit(name).alias("table"), "total", F.lit(None).cast("boolean").alias("is_unique")) for name, df in sorted(tables.items()) if df.columns]
+    return reduce(DataFrame.unionByName, each)
+
+
 #: The parts of a profile beside its counts, each a further aggregation of the histogram.
 PARTS = ("sentinels", "shapes", "top_values", "numeric", "temporal")
 

@@ -684,10 +684,15 @@ def invalid_targets(spark, sf_dir):
 PARTS = 4
 
 
-def stored(spark: SparkSession, folder: str, stem: str, lines: DataFrame, extension: str, form: str = "csv", parts: int | None = PARTS, **options: str) -> None:
-    """A frame as stem_N.extension files of a folder, one for each part that Spark writes."""
+def dealt(lines: DataFrame) -> DataFrame:
+    """A frame over PARTS partitions, or as many as its input is read in: so files are many where there is much, and none outgrows a task."""
+    return lines.repartition(max(PARTS, lines.rdd.getNumPartitions()))
+
+
+def stored(spark: SparkSession, folder: str, stem: str, lines: DataFrame, extension: str, form: str = "csv", **options: str) -> None:
+    """A frame as stem_N.extension files of a folder, one for each partition that holds rows."""
     at = spark._jvm.org.apache.hadoop.fs.Path
-    (lines.repartition(parts) if parts else lines).write.options(**options).format(form).save(f"{folder}/.{stem}")
+    lines.write.options(**options).format(form).save(f"{folder}/.{stem}")
     fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     parts = [f.getPath() for f in fs.listStatus(at(f"{folder}/.{stem}")) if f.getPath().getName().startswith("part-") and f.getLen()]
     for i, part in enumerate(sorted(parts, key=str)):
@@ -698,10 +703,9 @@ def short_orders(spark: SparkSession, sf_dir: str, folder: str) -> dict:
     """orders as .csv, all columns; rows whose customer's key ends in 7 are cut short."""
     t = texts(spark, sf_dir, "orders")["orders"]
     whole, head = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in t.columns]), F.lit(",".join(t.columns))
-    body = t.select(F.when(F.col("o_custkey").rlike("7$"), F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(whole).alias("value"))
-    for i in range(PARTS):  # each file begins with the header
-        part = body.where(F.pmod(F.xxhash64("value"), F.lit(PARTS)) == i).select("value")
-        stored(spark, folder, f"orders{i}", part.coalesce(1).select(F.when(F.monotonically_increasing_id() == 0, F.concat(head, F.lit("\n"), F.col("value"))).otherwise(F.col("value")).alias("value")), "csv", "text", None)
+    body = dealt(t.select(F.when(F.col("o_custkey").rlike("7$"), F.concat_ws(",", "o_orderkey", "o_custkey")).otherwise(whole).alias("value")))
+    first = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) == 0  # of its partition: each file begins with the header
+    stored(spark, folder, "orders", body.select(F.when(first, F.concat(head, F.lit("\n"), F.col("value"))).otherwise(F.col("value")).alias("value")), "csv", "text")
     return delimited.read_folder(spark, folder)
 
 

@@ -154,7 +154,7 @@ def orphan_values(spark, sf_dir):
 def unreadable_rows(spark, sf_dir):
     """Findings about rows of files that do not fit, summed over the files."""
     read = short_orders(spark, sf_dir, fresh_path(spark))
-    found = checks.table_checks(spark, read["tables"], prof.settled(prof.profile(read["tables"], AUDIT_TIME, parts=())), read["notes"], read["rejects"])
+    found = checks.table_checks(spark, read["tables"], prof.settled(prof.sizes(read["tables"])), read["notes"], read["rejects"])
     return found.where("rule = 'table.unreadable_rows'").groupBy("rule", "severity").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
 
 
@@ -162,7 +162,7 @@ def unreadable_rows(spark, sf_dir):
 def structure_notes(spark, sf_dir):
     """Findings made of notes on files, known ones and one that no list holds, with the rows of the files they are about."""
     read = nameless_parts(spark, sf_dir)
-    profiled = prof.settled(prof.profile(read["tables"], AUDIT_TIME, parts=()))
+    profiled = prof.settled(prof.sizes(read["tables"]))
     notes = read["notes"].where("code = 'csv.no_header'")
     notes = notes.unionByName(notes.withColumns({"code": F.lit("no.such_note"), "message": F.lit("something else")}))
     found = checks.table_checks(spark, read["tables"], profiled, notes).where("rule IN ('csv.no_header', 'no.such_note')")
