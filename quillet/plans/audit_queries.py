@@ -738,7 +738,7 @@ QUOTED = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
 def delimited_spanning_values(spark, sf_dir):
     """Whole documents as tab-separated files whose quoted texts span lines."""
     folder = fresh_path(spark)
-    stored(spark, folder, "docs", texts(spark, sf_dir, "documents")["documents"], "tsv", sep="\t", **QUOTED)
+    stored(spark, folder, "docs", dealt(texts(spark, sf_dir, "documents")["documents"]), "tsv", sep="\t", **QUOTED)
     return together(delimited.read_folder(spark, folder), "docs").select("doc_id", "lang", "source", "n_chars", "text")
 
 
@@ -747,13 +747,13 @@ def delimited_utf16(spark, sf_dir):
     """Conversations in an encoding whose line ends have two bytes."""
     folder = fresh_path(spark)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("CAST(conv_id AS STRING) AS conv_id", "CAST(turn AS STRING) AS turn", "role", "text")
-    stored(spark, folder, "talk", rows, "csv", encoding="UTF-16", **QUOTED)
+    stored(spark, folder, "talk", dealt(rows), "csv", encoding="UTF-16", **QUOTED)
     return together(delimited.read_folder(spark, folder), "talk")
 
 
 def nameless_parts(spark: SparkSession, sf_dir: str) -> dict:
     folder = fresh_path(spark)
-    stored(spark, folder, "part", texts(spark, sf_dir, "part")["part"], "psv", sep="|")
+    stored(spark, folder, "part", dealt(texts(spark, sf_dir, "part")["part"]), "psv", sep="|")
     return delimited.read_folder(spark, folder)
 
 
@@ -775,7 +775,7 @@ def file_notes(spark, sf_dir):
 def discovered_files(spark, sf_dir):
     """Every entry of a folder: files that are read, with their rows, one of them under a name that Spark's readers leave out, and the others with a reason."""
     folder, at = fresh_path(spark), spark._jvm.org.apache.hadoop.fs.Path
-    stored(spark, folder, "supplier", texts(spark, sf_dir, "supplier")["supplier"], "csv", header="true")
+    stored(spark, folder, "supplier", dealt(texts(spark, sf_dir, "supplier")["supplier"]), "csv", header="true")
     fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.rename(at(f"{folder}/supplier_0.csv"), at(f"{folder}/_supplier_0.csv"))
     for name in ("empty.csv", "~$open.xlsx", "notes.md"):
