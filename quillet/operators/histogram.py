@@ -16,24 +16,25 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name.replace('`', '``')}`").cast("string").alias(f.name) for f in df.schema if isinstance(f.dataType, TEXT_LIKE)])
 
 
-def cells(tables: dict[str, DataFrame]) -> DataFrame:
-    """(place, value): every cell of text tables; place is its column's place in columns_of(tables)."""
+def cells(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """(place, value) of every cell, a frame per text table that has columns; place is the column's place in columns_of(tables)."""
     parts, place = [], 0
     for _, df in sorted(tables.items()):
         if df.columns:
             named = [F.struct(F.lit(place + i).alias("place"), F.col(f"`{c.replace('`', '``')}`").alias("value")) for i, c in enumerate(df.columns)]
             parts.append(df.select(F.inline(F.array(*named))))
             place += len(df.columns)
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def histogram(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, ordinal, column, value, n); null is a value. Counted before the shuffle, so a hot value costs a row per task.
 
-    Columns are shuffled as numbers and named afterwards.
+    Columns are shuffled as numbers and named afterwards. Each table is counted by itself, as no two share a column: so its
+    cells go from the scan into the counts without being written as rows for a union.
     """
     names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(i).alias("ordinal"), F.lit(c).alias("column")) for t, i, c, _ in columns_of(tables)])
-    counted = cells(tables).groupBy("place", "value").agg(F.count("*").alias("n"))
+    counted = reduce(DataFrame.unionByName, [c.groupBy("place", "value").agg(F.count("*").alias("n")) for c in cells(tables)])
     return counted.withColumn("named", F.get(names, F.col("place"))).select("named.table", "named.ordinal", "named.column", "value", "n")
 
 

@@ -198,9 +198,7 @@ MEASURED = ("lineitem", "events", "orders")
 
 @query("SELECT * FROM (" + union(numbers_sql(n, INPUTS[n]) for n in MEASURED) + ") WHERE count > 0")
 def numeric_detail(spark, sf_dir):
-    h = histogram(texts(spark, sf_dir, *MEASURED)).persist()
-    got = prof.numeric_detail(h)
-    h.unpersist()
+    got = prof.numeric_detail(histogram(texts(spark, sf_dir, *MEASURED)))  # which reads it once
     return got.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p25", "median", "p75")], "negative", "zero", "outliers")
 
 
