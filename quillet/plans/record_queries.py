@@ -127,14 +127,14 @@ _HELD = "(1.0::DOUBLE - orphans::DOUBLE / populated)"
 
 
 def inferred_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References between seven tables that names, kinds and shapes suggest, and how many rows break each: only the columns they name are counted again."""
+    """References between seven tables that names, kinds and shapes suggest, and how many rows break each: tables are read once, for the profile and for the orphans."""
     t = texts(spark, sf_dir, *RELATED)
     h = histogram(t).persist()
     profiled = prof.settled(prof.profile(t, AUDIT_TIME, h, parts=("shapes",)))
-    h.unpersist()
     proposed = prof.settled(relate.propose_references(profiled, relate.candidate_keys(profiled, "^[a-z]_"), "^[a-z]_"))
-    named = [tuple(r) for r in proposed.select("table", "column", "parent_table", "parent_column").collect()]  # a row per column at most
-    return relate.orphans(histogram(relate.named_columns(t, named)), proposed)
+    out = prof.settled(relate.orphans(h, proposed))  # a row per column at most
+    h.unpersist()
+    return out
 
 
 @query(f'{_PROPOSED} SELECT t AS "table", c AS "column", pt AS parent_table, pc AS parent_column, named, populated, orphans FROM told')
