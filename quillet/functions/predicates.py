@@ -8,6 +8,7 @@ into a text than is written there: '12d' is no number, '2024' no date.
 from __future__ import annotations
 
 import re
+import string
 
 # Texts, and numbers, that stand for a missing value.
 TEXT_SENTINELS = ("n/a", "n.a.", "na", "null", "nil", "none", "-", "--", "?", "??", "unknown", "unspecified", "tbd", "tbc",
@@ -31,9 +32,15 @@ DATE_FORMATS = (
 )
 # The formats that count as a date when kinds are inferred (places in DATE_FORMATS), besides ISO.
 INFERENCE_FORMATS = (1, 2, 4, 6, 3, 7)
+# Shapes of the letters of a Spark pattern; days and months that no calendar has are left out.
+FIELDS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Z][a-z]{2}", "MM": "(?:0[1-9]|1[0-2])", "M": "(?:0?[1-9]|1[0-2])", "dd": r"(?:0[1-9]|[12]\d|3[01])", "d": r"(?:0?[1-9]|[12]\d|3[01])"}
+#: The shape of each of DATE_FORMATS, less days and months that none of its dates has: a failed parse costs an exception, so few get there.
+DATE_SHAPES = tuple(re.sub("y+|M+|d+|[^\\w]", lambda m: FIELDS.get(m[0]) or re.escape(m[0]), pattern) for _, pattern, _ in DATE_FORMATS)
 DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 TIMESTAMP = r"\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?"
 NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?"
+#: What the cast to boolean takes, with the characters it strips: any other text would cost it an exception.
+BOOLEAN = r"(?i)[\x00-\x20\x7f]*(?:t|true|y|yes|1|f|false|n|no|0)[\x00-\x20\x7f]*"
 KINDS = ("integer", "decimal", "date", "timestamp", "boolean")
 
 
@@ -85,14 +92,13 @@ def is_decimal(c: str) -> str:
 
 
 def is_boolean(c: str) -> str:
-    return f"try_cast(trim({c}) AS BOOLEAN) IS NOT NULL"
+    return f"({full_match(f'trim({c})', BOOLEAN)} AND try_cast(trim({c}) AS BOOLEAN) IS NOT NULL)"
 
 
 def parse_date(c: str, i: int) -> str:
     """The text as a timestamp under the i-th of DATE_FORMATS, null if it does not fit."""
-    _, pattern, shape = DATE_FORMATS[i]
-    text = f"trim({c})"
-    return f"CASE WHEN {full_match(text, shape)} THEN try_to_timestamp({text}, {literal(pattern)}) END"
+    text, pattern = f"trim({c})", DATE_FORMATS[i][1]
+    return f"CASE WHEN {full_match(text, DATE_SHAPES[i])} THEN try_to_timestamp({text}, {literal(pattern)}) END"
 
 
 def iso_date(c: str) -> str:
@@ -100,7 +106,8 @@ def iso_date(c: str) -> str:
 
 
 def is_date(c: str) -> str:
-    return "(" + " OR ".join([f"({iso_date(c)}) IS NOT NULL", *(f"({parse_date(c, i)}) IS NOT NULL" for i in INFERENCE_FORMATS)]) + ")"
+    any_of = " OR ".join([f"({iso_date(c)}) IS NOT NULL", *(f"({parse_date(c, i)}) IS NOT NULL" for i in INFERENCE_FORMATS)])
+    return f"(length(trim({c})) BETWEEN 8 AND 12 AND ({any_of}))"  # 8 to 10, and a line end that the shapes let pass
 
 
 def timestamp(c: str) -> str:
@@ -119,9 +126,14 @@ def is_ambiguous_date(c: str) -> str:
 OF_KIND = {"integer": is_integer, "decimal": is_decimal, "boolean": is_boolean, "date": is_date, "timestamp": is_timestamp}
 
 
+#: ASCII digits, white space and letters, and what stands for them in a shape.
+ASCII_CLASSES = ("012345678\t\n\x0b\f\r" + string.ascii_letters, "9" * 9 + " " * 5 + "X" * 52)
+
+
 def shape(c: str) -> str:
-    """Digits as 9, letters as X, white space as a space."""
-    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{Nd}}', '9'), '\\p{{L}}', 'X'), '\\s', ' ')"
+    """Digits as 9, letters as X, white space as a space. ASCII texts, whose letters are known, go without regular expressions."""
+    any_text = rf"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{Nd}}', '9'), '\\p{{L}}', 'X'), '\\s', ' ')"
+    return f"CASE WHEN octet_length({c}) = char_length({c}) THEN translate({c}, {', '.join(map(literal, ASCII_CLASSES))}) ELSE {any_text} END"
 
 
 #: A word boundary in which only ASCII letters, digits and _ make words, as \\w does; Java's own boundary also counts other letters.
